@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from foliant.llm.line_dedup import OP5_SQL, op5_line_dedup
+from foliant.llm.near_dup import op10_near_dup
 from foliant.llm.sentence_pieces import op9_sentence_pieces
 from foliant.llm.token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op9_sentence_pieces)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_line_dedup, op9_sentence_pieces, op10_near_dup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
