@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from foliant.llm.line_dedup import OP5_SQL, op5_line_dedup
 from foliant.llm.near_dup import op10_near_dup
+from foliant.llm.quality_trees import op4_quality_trees
 from foliant.llm.sentence_pieces import op9_sentence_pieces
 from foliant.llm.token_counts import op3_token_counts
+from foliant.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_line_dedup, op9_sentence_pieces, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_quality_trees, op5_line_dedup, op9_sentence_pieces, op10_near_dup)}
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
