@@ -4,8 +4,8 @@ Every vector is represented by its ``length`` nearest pivots in order.  The inde
 of about ``shard_rows`` vectors (dealt by a hash of vec_id, so copies of one vector spread); a shard
 posts its vectors in one inverted file a pivot, with the pivot's place in the vector's order.  Queries
 go through their own pivots' files, rank the vectors by the footrule distance of the two orders over
-these pivots (one that a vector lacks stands one past the end) and rerank the nearest ``rerank`` share of the shard by
-the inner product of the original vectors in double precision.  The shards' nearest are merged.
+these pivots (one that a vector lacks stands one past the end) and rerank the nearest ``rerank`` share
+of the shard (1,024 at least) by the inner product of the original vectors in double precision.  The shards' nearest are merged.
 
 Pivots are ``pivots`` distinct vectors, first in the order of a hash (the bounded sample the index is
 fitted on).  Vectors that are null, zero, hold null or non-finite components, or are not of the most
@@ -62,7 +62,7 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, length: int) -> DataFra
     return vectors.mapInArrow(work, "vec_id long, embedding array<double>, pivots array<int>")
 
 
-def _search(k: int, rerank: float):
+def _search(k: int, rerank: float, least: int = 1024):
     def work(shard: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if shard.num_rows and queries.num_rows:
@@ -73,7 +73,7 @@ def _search(k: int, rerank: float):
             files = np.full((int(max(perm.max(), _matrix(queries["pivots"]).max())) + 1, n), length, np.int16)
             files[perm, np.arange(n)[:, None]] = np.arange(length, dtype=np.int16)
             places, tie = np.arange(length, dtype=np.int16)[:, None], np.arange(n)
-            most = max(4 * k, int(np.ceil(rerank * n)))
+            most = max(k, least, int(np.ceil(rerank * n)))
             for q, y, own in zip(queries["vec_id"].to_pylist(), _matrix(queries["embedding"]), _matrix(queries["pivots"])):
                 away = files[own]
                 away -= places
