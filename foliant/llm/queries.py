@@ -6,12 +6,13 @@ from foliant.llm.line_dedup import OP5_SQL, op5_line_dedup
 from foliant.llm.mixing import op6_mixing
 from foliant.llm.near_dup import op10_near_dup
 from foliant.llm.permutation_index import op1_permutation_index
+from foliant.llm.private_data import op8_private_data
 from foliant.llm.quality_rules import op7_quality_rules
 from foliant.llm.quality_trees import op4_quality_trees
 from foliant.llm.sentence_pieces import op9_sentence_pieces
 from foliant.llm.token_counts import op3_token_counts
 from foliant.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_token_counts, op4_quality_trees, op5_line_dedup, op6_mixing, op7_quality_rules, op9_sentence_pieces, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_token_counts, op4_quality_trees, op5_line_dedup, op6_mixing, op7_quality_rules, op8_private_data, op9_sentence_pieces, op10_near_dup)}
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
