@@ -21,6 +21,7 @@ every rate is 1.  An empty table gives an empty result.  Columns named like the
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,33 +34,45 @@ TELLING = "aehikowyzqjxéèêàçùäöüßñóíáú"
 
 
 def _features(docs: DataFrame, telling: str) -> DataFrame:
-    """``n_tokens``, and ``c0``... : counts of the telling characters, lower case, and of the rest."""
+    """``row`` (the columns of ``docs``), ``n_tokens`` and ``counts``, an array of the numbers of each
+    telling character and of all others."""
     text = text_of().cast("string")
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    base = docs.select("*", F.size(words).cast("long").alias("n_tokens"), F.length(text).alias("_n"), F.regexp_replace(text, f"[^{telling}]+", "").alias("_t"))
-    counts = [(F.length("_t") - F.length(F.replace(F.col("_t"), F.lit(c)))).alias(f"_c{k}") for k, c in enumerate(telling)]
-    rest = (F.col("_n") - F.length("_t")).alias(f"_c{len(telling)}")
-    return base.select("*", *counts, rest).drop("_n", "_t")
-
-
-def _posteriors(features: DataFrame, known: DataFrame, n: int, strength: float) -> tuple[DataFrame, list[str]]:
-    """``features`` with ``posterior array<double>`` in the order of the domains, and these."""
-    sums = [F.sum(f"_c{k}").alias(f"s{k}") for k in range(n)]
-    rows = features.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("docs"), *sums).orderBy("domain").collect()
-    if not rows:
-        return features.withColumn("posterior", F.array().cast("array<double>")), []
-    size = reduce(lambda a, b: a + b, (F.col(f"_c{k}") for k in range(n))).cast("double")
-    weight = F.lit(float(strength)) / F.greatest(size, F.lit(float(strength)))
-    total = sum(r["docs"] for r in rows)
-    scores = []
-    for r in rows:
-        seen = sum(r[f"s{k}"] for k in range(n)) + n
-        logs = [math.log((r[f"s{k}"] + 1) / seen) for k in range(n)]
-        scores.append(F.lit(math.log(r["docs"] / total)) + weight * reduce(lambda a, b: a + b, (F.col(f"_c{k}") * F.lit(v) for k, v in enumerate(logs))))
-    scored = features.withColumn("_s", F.array(*scores))
-    odds = scored.withColumn("_e", F.transform("_s", lambda x: F.exp(x - F.array_max("_s"))))
-    sum_ = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-    return odds.withColumn("posterior", F.transform("_e", lambda x: x / sum_)).drop("_s", "_e"), [r["domain"] for r in rows]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    base = docs.select(row.alias("row"), F.size(words).cast("long").alias("n_tokens"), F.length(text).alias("n"), F.regexp_replace(text, f"[^{telling}]+", "").alias("told"))
+    counts = [F.length("told") - F.length(F.replace(F.col("told"), F.lit(c))) for c in telling]
+    return base.select("row", "n_tokens", F.array(*counts, F.col("n") - F.length("told")).alias("counts"))
+
+
+@dataclass
+class Domains:
+    """The classifier: for each domain the log of its prior and of the share of each character."""
+
+    names: list[str]
+    prior: list[float]
+    logs: list[list[float]]
+    strength: float
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``posterior array<double>`` in the order of the domains instead of ``counts``."""
+        if not self.names:
+            return rows.withColumn("posterior", F.array().cast("array<double>")).drop("counts")
+        c = [F.col("counts")[k] for k in range(len(self.logs[0]))]
+        size = reduce(lambda a, b: a + b, c).cast("double")
+        weight = F.lit(float(self.strength)) / F.greatest(size, F.lit(float(self.strength)))
+        scores = [F.lit(p) + weight * reduce(lambda a, b: a + b, (x * F.lit(v) for x, v in zip(c, logs))) for p, logs in zip(self.prior, self.logs)]
+        scored = rows.select(*[x for x in rows.columns if x != "counts"], F.array(*scores).alias("scores"))
+        odds = scored.withColumn("odds", F.transform("scores", lambda x: F.exp(x - F.array_max("scores")))).drop("scores")
+        return odds.withColumn("posterior", F.transform("odds", lambda x: x / F.aggregate("odds", F.lit(0.0), lambda a, y: a + y))).drop("odds")
+
+
+def train_domains(features: DataFrame, known: DataFrame, strength: float) -> Domains:
+    """``features``: ``doc_id, counts``; ``known``: ``doc_id, domain``."""
+    rows = features.join(known, "doc_id").select("domain", "doc_id", F.posexplode("counts").alias("at", "n")).groupBy("domain", "at").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).orderBy("domain", "at").collect()
+    names = sorted({r["domain"] for r in rows})
+    seen = {d: [r["n"] + 1 for r in rows if r["domain"] == d] for d in names}
+    docs = {r["domain"]: r["docs"] for r in rows}
+    return Domains(names, [math.log(docs[d] / sum(docs.values())) for d in names], [[math.log(n / sum(seen[d])) for n in seen[d]] for d in names], strength)
 
 
 def _rate(posterior: list[Column], steps: list[list[float]]) -> Column:
@@ -80,6 +93,8 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], to
         got = rows.select("n_tokens", *[x.alias(f"p{k}") for k, x in enumerate(p)]).agg(*sums).first()
         return [got[f"t{k}"] or 0.0 for k in range(len(domains))]
 
+    if not domains:
+        return []
     weights = [max(0.0, targets.get(d, 0.0)) for d in domains]
     if not sum(weights):
         return []
@@ -104,13 +119,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
     ``labelled`` holds ``doc_id, domain``; the smallest domain counts where a doc_id has several."""
     docs = docs.select(*[c for c in docs.columns if c not in ("n_tokens", "posterior", "domain", "rate")])
     known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    features, n = _features(docs.select("doc_id", "text"), telling).drop("text"), len(telling) + 1
-    rows, domains = _posteriors(table(features, "features"), known, n, strength)
-    rows = table(rows.select("doc_id", "n_tokens", "posterior"), "posteriors")
-    steps = fit_rates(rows, domains, targets, total) if domains else []
-    rate = _rate([F.col("posterior")[k] for k in range(len(domains))], steps)
-    best = F.get(F.array(*[F.lit(d) for d in domains]), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1) if domains else F.lit(None).cast("string")
-    return rows.select("doc_id", "n_tokens", "posterior", best.alias("domain"), rate.alias("rate"))
+    counted = table(_features(docs.select("doc_id", "text"), telling).select("row.doc_id", "n_tokens", "counts"), "features")
+    domains = train_domains(counted, known, strength)
+    steps = fit_rates(table(domains.apply(counted.select("n_tokens", "counts")), "posteriors"), domains.names, targets, total)
+    rows = domains.apply(_features(docs, telling))
+    rate = _rate([F.col("posterior")[k] for k in range(len(domains.names))], steps)
+    best = F.lit(None).cast("string")
+    if domains.names:
+        best = F.get(F.array(*[F.lit(d) for d in domains.names]), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
+    return rows.select("row.*", "n_tokens", "posterior", best.alias("domain"), rate.alias("rate"))
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -131,5 +148,5 @@ def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir), language_labels(spark, sf_dir), TARGETS)
+    out = mix(documents(spark, sf_dir).select("doc_id", "text"), language_labels(spark, sf_dir), TARGETS)
     return out.select("doc_id", "n_tokens", "domain", F.array_max("posterior").alias("membership"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))

@@ -8,7 +8,7 @@ are not precise enough end the list.  All labelled rows are used.
 
 Null and empty texts have zero statistics and fail the base rules.  Repeated rows are judged alike.
 Without labelled rows of both classes the list is empty and keeps everything that passes the base.
-An empty table gives an empty result.  Statistics replace columns of ``docs`` with their names.
+An empty table gives an empty result.  The added columns replace columns of ``docs`` with their names.
 """
 
 from __future__ import annotations
@@ -39,16 +39,20 @@ def _count(text: Column, keep: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
 
 
+COUNTED = [*BASE, "n_lines", "n_distinct", "n_capitals", "n_bangs", "n_bars"]
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counted columns of every row.
+    """The rows of ``docs`` with the counted columns.
 
     Words of repeated windows are found by hashing each window of three words, sorting (hash, place)
     and keeping the places whose hash stands beside an equal one; texts without a repeated window
     skip that."""
     text = F.col("text")
-    base = docs.select(F.col("doc_id"), text_of().cast("string").alias("text"))
+    others = [c for c in docs.columns if c not in COUNTED]
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text_of().cast("string").alias("text"))
     cut = base.select(
-        "doc_id",
+        "row",
         F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("lines"),
         _count(text, r"\x20\x09-\x0D").alias("n_spaces"),
@@ -68,7 +72,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     near = F.filter("sorted", lambda x, k: (x["h"] == F.get("sorted", k - 1)["h"]) | (x["h"] == F.get("sorted", k + 1)["h"]))
     places = F.array_distinct(F.flatten(F.transform(near, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return held.select(
-        "doc_id",
+        "row.*",
         size.cast("long").alias("n_words"),
         (F.col("n_chars_all") - F.col("n_spaces")).alias("word_chars"),
         "n_symbols",
@@ -173,14 +177,16 @@ def learn(labelled: DataFrame, most_rules: int = 12, most_conditions: int = 3, b
 
 
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """``doc_id``, the counted columns, ``base_failed`` and ``kept`` of every row."""
-    stats = table(text_statistics(docs), "statistics")
+    """The rows of ``docs`` with the counted columns, ``base_failed`` and ``kept``.  Rows are written
+    with their statistics once, so that learning and judging read them instead of counting again."""
+    stats = table(text_statistics(docs.select(*[c for c in docs.columns if c not in ("base_failed", "kept")])), "statistics")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    rules = learn(stats.join(known, "doc_id"))
+    rules = learn(stats.select("doc_id", *COUNTED).join(known, "doc_id"))
     failed = F.expr(BASE_FAILED)
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & rules.verdict())
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", *BASE, "base_failed", "kept")

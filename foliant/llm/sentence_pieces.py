@@ -22,12 +22,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm.common import Memo, documents, text_of
 
 META = "▁"
 NONE = 1 << 40
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
+IDS = ", ids array<int>"
 _held: dict[str, MergeVocabulary] = {}
 
 
@@ -215,8 +217,9 @@ def _sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 
 
-def round_trip(docs: DataFrame, model_path: str, rows: int = 1000) -> DataFrame:
-    """Per document the number and digest of its ids, and the digest of their decoding."""
+def round_trip(docs: DataFrame, model_path: str, with_ids: bool = False, rows: int = 1000) -> DataFrame:
+    """Per document the number and digest of its ids, and the digest of their decoding; on demand the
+    ids themselves."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
@@ -225,30 +228,16 @@ def round_trip(docs: DataFrame, model_path: str, rows: int = 1000) -> DataFrame:
                 b = whole.slice(at, rows)
                 ids, agrees = v.encode(b.column("text").to_pylist())
                 decoded = v.lib.decode(ids, num_threads=1)
-                yield pa.record_batch(
-                    {
-                        "doc_id": b.column("doc_id"),
-                        "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                        "ids_sha256": [_sha(" ".join(map(v.names.__getitem__, x))) for x in ids],
-                        "decoded_sha256": [_sha(x) for x in decoded],
-                        "agrees": pa.array([agrees] * len(ids), pa.bool_()),
-                    }
-                )
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, SCHEMA)
-
-
-def encode_ids(docs: DataFrame, model_path: str, rows: int = 1000) -> DataFrame:
-    """``doc_id, ids array<int>``: the ids themselves, for writing training shards."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array(v.encode(b.column("text").to_pylist())[0], pa.list_(pa.int32()))})
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, "doc_id long, ids array<int>")
+                out = {
+                    "doc_id": b.column("doc_id"),
+                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids_sha256": [_sha(" ".join(map(v.names.__getitem__, x))) for x in ids],
+                    "decoded_sha256": [_sha(x) for x in decoded],
+                    "agrees": pa.array([agrees] * len(ids), pa.bool_()),
+                }
+                yield pa.record_batch(out | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
+
+    return docs.select(F.col("doc_id").cast("long"), text_of().cast("string").alias("text")).mapInArrow(work, SCHEMA + IDS * with_ids)
 
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
