@@ -1,5 +1,348 @@
-"""The registered queries on the provided tables."""
+"""The registered queries: the operators on the provided tables.
+
+``documents`` are the corpus, one chunk a document; ``pages`` are chapters of books, a book being a URL
+host; ``embeddings`` are chunk, question and query vectors; ``benchmark`` texts are questions, ``labels``
+verdicts, ``conversations`` chats.  Model answers are made from ids by expressions: valid, fenced,
+broken or incomplete.  Arrays, maps and structs leave as strings or rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions.expr import l2_normalize
+from foliant.operators import chat, chunking, html, index, pages, responses, retrieve, rules, windows
+
+NEAR = 0.15  # few test vectors reach the default threshold of 0.5
+QV = 50  # a vec_id divisible by QV is a query vector
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c: Column | str, n: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    return _read(spark, sf_dir, "pages").select(host.alias("doc_name"), F.col("page_id").alias("item_no"), "html")
+
+
+def _name() -> Column:
+    return F.concat("source", F.lit("-"), F.col("doc_id").cast("string"))
+
+
+def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk a document, with phrases and questions made from its text."""
+    words = F.slice(F.split("text", " "), 1, 6)
+    return _read(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.col("source").alias("doc_name"),
+        F.concat(_name(), F.lit("_p1_c1")).alias("chunk_id"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("doc_id").cast("int")).alias("page_number"),
+        "text",
+        F.concat(words, F.array(F.lit(" "), "lang")).alias("keyword_summaries"),
+        F.array(F.concat(F.lit(" "), F.element_at(words, 1), F.lit("? ")), F.when(F.col("doc_id") % 3 == 0, "").otherwise("lang")).alias("generated_questions"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 11 != 0).alias("is_meaningful"),
+    )
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _read(spark, sf_dir, "documents").select("doc_id", F.concat(_name(), F.lit("_p1_c1")).alias("chunk_id"))
+    return _read(spark, sf_dir, "embeddings").join(names, F.col("vec_id") == F.col("doc_id")).select("chunk_id", "embedding")
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _read(spark, sf_dir, "embeddings").where(F.col("vec_id") % QV == 0)
+    return v.select(F.floor(F.col("vec_id") / 100).alias("request_id"), F.floor(F.col("vec_id") % 100 / QV).cast("int").alias("sub_id"), "embedding")
+
+
+def _text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _read(spark, sf_dir, "benchmark")
+    return b.select(F.floor(F.col("item_id") / 4).alias("request_id"), (F.col("item_id") % 4).cast("int").alias("sub_id"), F.col("text").alias("query"))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _read(spark, sf_dir, "benchmark")
+    words = F.split("text", " ")
+    return b.select(F.col("item_id").alias("request_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 0, F.array(F.element_at(words, 1), F.element_at(words, 2))).otherwise(F.array().cast("array<string>")).alias("broadened_question"), F.slice(words, 3, 2).alias("keyword"))
+
+
+def chapters_to_text(spark, sf_dir):
+    return html.chapters_to_text(chapters(spark, sf_dir), keep=["doc_name", "item_no"])
+
+
+def assemble_books(spark, sf_dir):
+    return html.assemble_books(chapters_to_text(spark, sf_dir))
+
+
+def conversion_report(spark, sf_dir):
+    items = chapters(spark, sf_dir).withColumn("html", F.when(F.col("item_no") % 2 == 0, F.col("html")))
+    books = html.assemble_books(html.chapters_to_text(items, keep=["doc_name", "item_no"]))
+    return html.conversion_report(items, books)
+
+
+def split_pages(spark, sf_dir):
+    return pages.split_pages(assemble_books(spark, sf_dir))
+
+
+def chunk_ids(spark, sf_dir):
+    rows = split_pages(spark, sf_dir).withColumn("chunk_no", F.lit(1))
+    return pages.with_chunk_id(rows).select("doc_name", "page_ord", "chunk_id")
+
+
+def chunk_pages(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(_name().alias("doc_name"), "text")
+    return chunking.chunk_pages(pages.split_pages(docs))
+
+
+def chunk_counts(spark, sf_dir):
+    return chunking.chunk_counts(doc_chunks(spark, sf_dir).select(F.col("doc_name")))
+
+
+def context_windows(spark, sf_dir):
+    rows = doc_chunks(spark, sf_dir).select("doc_name", "doc_id", "page_number", "chunk_id", F.left("text", F.lit(40)).alias("text"))
+    return windows.context_windows(rows, ["page_number", "doc_id"]).drop("doc_id")
+
+
+def _repair_attempts(spark, sf_dir):
+    """Attempts 1 to 6 for each document; what each answers goes by doc_id and attempt."""
+    rows = _read(spark, sf_dir, "documents").select(_name().alias("chunk_id"), "doc_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("attempt"))
+    fine = F.concat(F.lit('{"optimized_chunk_B_text": " fixed '), F.col("doc_id").cast("string"), F.lit(' "}'))
+    kind = (F.col("doc_id") + F.col("attempt")) % 8
+    answer = F.when(F.col("doc_id") % 9 == 0, "{broken").when(kind == 0, fine).when(kind == 1, F.concat(F.lit("```json\n"), fine, F.lit("\n```"))).when(kind == 2, '{"other": 1}').when(kind == 3, "").otherwise("{broken")
+    return rows.select("chunk_id", "attempt", answer.alias("response"))
+
+
+def resolve_attempts(spark, sf_dir):
+    return responses.resolve_attempts(responses.parse_refinement(_repair_attempts(spark, sf_dir)))
+
+
+def refine_merge(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "documents").select(_name().alias("chunk_id"), "text")
+    return responses.apply_refinements(chunks, resolve_attempts(spark, sf_dir))
+
+
+def _annotations(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select(_name().alias("chunk_id"), "doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
+    ok = F.concat(F.lit('{"is_meaningful": '), (F.col("doc_id") % 6 != 0).cast("string"), F.lit(', "reason_if_not_meaningful": "", "keyword_summaries": ["k'), F.col("doc_id").cast("string"), F.lit('"], "generated_questions": []}'))
+    kind = (F.col("doc_id") + 2 * F.col("attempt")) % 7
+    answer = F.when(kind < 2, ok).when(kind == 2, '{"is_meaningful": true}').when(kind == 3, F.concat(F.lit("```json\n"), ok, F.lit("\n```"))).otherwise("no json")
+    return responses.parse_annotations(rows.select("chunk_id", "attempt", answer.alias("response")))
+
+
+def annotation_parse(spark, sf_dir):
+    a = _annotations(spark, sf_dir)
+    return a.select("chunk_id", "attempt", "valid", F.col("annotation.is_meaningful").alias("is_meaningful"), F.array_join("annotation.keyword_summaries", "|").alias("keywords"))
+
+
+def annotate_chunks(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "documents").select(_name().alias("chunk_id"), "text")
+    out = responses.annotate_chunks(chunks, responses.first_valid(_annotations(spark, sf_dir)))
+    return out.select("chunk_id", F.length("text").alias("n_text"), F.array_join("keyword_summaries", "|").alias("keywords"), "is_meaningful")
+
+
+def annotation_stats(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "documents").select(_name().alias("chunk_id"), F.when(F.col("doc_id") % 13 == 0, "  ").otherwise(F.col("text")).alias("text"))
+    return responses.annotation_stats(chunks, responses.first_valid(_annotations(spark, sf_dir)))
+
+
+def meaningful_rule(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", rules.is_meaningful_rule().alias("is_meaningful"))
+
+
+def select_indexable(spark, sf_dir):
+    rows = doc_chunks(spark, sf_dir).withColumn("chunk_id", F.when(F.col("doc_id") % 4 != 0, F.col("chunk_id")))
+    out = index.select_indexable(rows, "doc_id")
+    return out.select("doc_id", "chunk_id", "doc_name", "page_number", F.length("text").alias("n_text"), F.size("keyword_summaries").alias("n_phrases"))
+
+
+def l2_normalize_(spark, sf_dir):
+    v = _read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(l2_normalize(F.transform("embedding", lambda x: x * F.lit(3.0)))).alias("pos", "value"))
+    return v.select("vec_id", "pos", _r("value").alias("value"))
+
+
+def _postings(spark, sf_dir):
+    return index.build_postings(doc_chunks(spark, sf_dir))
+
+
+def postings(spark, sf_dir):
+    return _postings(spark, sf_dir)
+
+
+def bm25_stats(spark, sf_dir):
+    p = _postings(spark, sf_dir)
+    s = index.bm25_stats(doc_chunks(spark, sf_dir), p)
+    return index.term_stats(p).select("term", "df", _r(s.idf(F.col("df"))).alias("idf"))
+
+
+def _bm25(spark, sf_dir):
+    p = _postings(spark, sf_dir)
+    return p, index.bm25_stats(doc_chunks(spark, sf_dir), p)
+
+
+def bm25_search(spark, sf_dir):
+    p, s = _bm25(spark, sf_dir)
+    out = retrieve.bm25_search(p, s, _text_queries(spark, sf_dir), 10)
+    return out.select("request_id", "sub_id", "chunk_id", _r("score").alias("score"), "bm25_rank")
+
+
+def tfidf_keywords(spark, sf_dir):
+    p, s = _bm25(spark, sf_dir)
+    return rules.tfidf_keywords(p, s).select("chunk_id", "term", "rank", _r("weight").alias("weight"))
+
+
+def phrase_dictionary(spark, sf_dir):
+    return index.phrase_dictionary(doc_chunks(spark, sf_dir))
+
+
+def phrase_index(spark, sf_dir):
+    return index.phrase_index(index.phrase_dictionary(doc_chunks(spark, sf_dir)))
+
+
+def question_index(spark, sf_dir):
+    return index.question_index(doc_chunks(spark, sf_dir))
+
+
+def check_index(spark, sf_dir):
+    chunks = doc_chunks(spark, sf_dir)
+    questions = index.question_index(chunks)
+    return index.check_index(chunks, _vectors(spark, sf_dir), questions, questions.where("pos = 0").select("chunk_id", "pos"))
+
+
+def expand_queries(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    return retrieve.expand_queries(r, "text").withColumn("path", F.lit("text")).unionByName(retrieve.expand_queries(r, "keyword").withColumn("path", F.lit("keyword")))
+
+
+def instruct_query(spark, sf_dir):
+    from foliant.functions.constants import CHUNK_TASK
+
+    return _read(spark, sf_dir, "benchmark").select("item_id", retrieve.instruct_query(F.col("text"), CHUNK_TASK).alias("query"))
+
+
+def dense_search(spark, sf_dir):
+    out = retrieve.dense_search(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), threshold=NEAR)
+    return out.select("request_id", "chunk_id", _r("retrieval_score").alias("retrieval_score"), "rank", "retrieval_type")
+
+
+def _question_vectors(spark, sf_dir):
+    names = _read(spark, sf_dir, "documents").select("doc_id", F.concat(_name(), F.lit("_p1_c1")).alias("chunk_id"))
+    odd = _read(spark, sf_dir, "embeddings").where("vec_id % 2 = 1")
+    return odd.join(names, F.floor(F.col("vec_id") / 4) == F.col("doc_id")).select(F.col("vec_id").alias("question_id"), "chunk_id", F.concat(F.lit("question "), F.col("vec_id").cast("string")).alias("question"), "embedding")
+
+
+def question_search(spark, sf_dir):
+    out = retrieve.question_search(_question_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), doc_chunks(spark, sf_dir), threshold=NEAR)
+    return out.select("request_id", "chunk_id", "matched_question", _r("retrieval_score").alias("retrieval_score"), "rank")
+
+
+def _hybrid_queries(spark, sf_dir):
+    """Benchmark texts beside query vectors of the same request and place."""
+    return _text_queries(spark, sf_dir).join(_query_vectors(spark, sf_dir), ["request_id", "sub_id"])
+
+
+def rrf_fuse(spark, sf_dir):
+    p, s = _bm25(spark, sf_dir)
+    q = _hybrid_queries(spark, sf_dir)
+    near = retrieve._nearest(_vectors(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), q, 20, NEAR)
+    near = near.select("request_id", "sub_id", F.col("id").alias("chunk_id"), F.col("rank").alias("embedding_rank"))
+    out = retrieve.rrf_fuse(retrieve.bm25_search(p, s, q), near)
+    return out.select("request_id", "sub_id", "chunk_id", "bm25_rank", "embedding_rank", _r("original_rrf_score").alias("original_rrf_score"))
+
+
+def minmax_scores(spark, sf_dir):
+    fused = rrf_fuse(spark, sf_dir)
+    return retrieve.minmax_scores(fused).select("request_id", "chunk_id", _r("retrieval_score", 4).alias("retrieval_score"))
+
+
+def _hybrid(spark, sf_dir):
+    p, s = _bm25(spark, sf_dir)
+    return retrieve.hybrid_search(p, s, _vectors(spark, sf_dir), _hybrid_queries(spark, sf_dir), threshold=NEAR)
+
+
+def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("request_id", "chunk_id", "bm25_rank", "embedding_rank", "rrf_k", _r("retrieval_score").alias("retrieval_score"), "rank", "retrieval_type")
+
+
+def _hits(spark, sf_dir):
+    keep = lambda df, path: df.select("request_id", F.lit(path).alias("path"), "rank", "chunk_id", _r("retrieval_score").alias("retrieval_score"), "retrieval_type")
+    dense = retrieve.dense_search(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), threshold=NEAR)
+    asked = retrieve.question_search(_question_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), doc_chunks(spark, sf_dir), threshold=NEAR)
+    return keep(dense, "text").unionByName(keep(_hybrid(spark, sf_dir), "keyword")).unionByName(keep(asked, "question"))
+
+
+def _verdicts(spark, sf_dir, merged):
+    names = _read(spark, sf_dir, "documents").select("doc_id", F.concat(_name(), F.lit("_p1_c1")).alias("chunk_id"))
+    marks = _read(spark, sf_dir, "labels").join(names, "doc_id").select("chunk_id", F.when(F.col("quality") == 1, "useful").otherwise("useless").alias("verdict"))
+    return merged.select("request_id", "chunk_id").join(marks, "chunk_id")
+
+
+def _shown(merged):
+    paths = F.array_join(F.transform(F.map_entries("retrieved_from_paths"), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 6))), ";")
+    return merged.select("request_id", "position", "chunk_id", "retrieval_score", "retrieval_type", paths.alias("paths"))
+
+
+def merge_paths(spark, sf_dir):
+    return _shown(retrieve.merge_paths(_hits(spark, sf_dir)))
+
+
+def filter_useful(spark, sf_dir):
+    merged = retrieve.merge_paths(_hits(spark, sf_dir))
+    return _shown(retrieve.filter_useful(merged, _verdicts(spark, sf_dir, merged)))
+
+
+def assemble_context(spark, sf_dir):
+    merged = retrieve.merge_paths(_hits(spark, sf_dir))
+    useful = retrieve.filter_useful(merged, _verdicts(spark, sf_dir, merged))
+    out = retrieve.assemble_context(useful, doc_chunks(spark, sf_dir))
+    return out.select("request_id", "context", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+def _asked(spark, sf_dir):
+    return _read(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 4).alias("request_id")).distinct()
+
+
+def request_outcomes(spark, sf_dir):
+    merged = retrieve.merge_paths(_hits(spark, sf_dir))
+    return retrieve.request_outcomes(_asked(spark, sf_dir), merged, retrieve.filter_useful(merged, _verdicts(spark, sf_dir, merged)))
+
+
+def retrieval_stats(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    merged = retrieve.merge_paths(hits)
+    return retrieve.retrieval_stats(hits, merged, retrieve.filter_useful(merged, _verdicts(spark, sf_dir, merged)))
+
+
+def recent_history(spark, sf_dir):
+    return chat.recent_history(_read(spark, sf_dir, "conversations"), 4)
+
+
+def format_history(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations")
+    return chat.format_history(chat.recent_history(turns, 4), turns)
+
+
+def generator_messages(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations")
+    rows = chat.history_messages(chat.recent_history(turns, 4)).withColumns({"user_query": F.concat(F.lit("question "), F.col("conv_id").cast("string")), "context": F.when(F.col("conv_id") % 2 == 0, F.lit("context")), "broadened_question": F.array(F.lit("a"), F.col("conv_id").cast("string"))})
+    out = chat.generator_messages(rows, "Answer from the fragments.").select("conv_id", F.posexplode("messages").alias("pos", "m"))
+    return out.select("conv_id", "pos", "m.role", "m.content")
+
+
+def judge_requests(spark, sf_dir):
+    rows = _read(spark, sf_dir, "benchmark").select("item_id", "text", F.array(F.lit("first?"), F.concat(F.lit("q"), F.col("item_id").cast("string"))).alias("questions"))
+    return chat.judge_requests(rows, "Fragment:\n{knowledge_content}\nQuestions:\n{questions}").select("item_id", "request")
+
+
+QUERIES = {
+    f.__name__.rstrip("_"): f
+    for f in (
+        bm25_search, chapters_to_text, assemble_books, conversion_report, split_pages, chunk_ids, chunk_pages, chunk_counts, context_windows, resolve_attempts, refine_merge,
+        annotation_parse, annotate_chunks, annotation_stats, meaningful_rule, select_indexable, l2_normalize_, postings, bm25_stats, tfidf_keywords, phrase_dictionary, phrase_index,
+        question_index, check_index, expand_queries, instruct_query, dense_search, question_search, rrf_fuse, minmax_scores, hybrid_search, merge_paths, filter_useful,
+        assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests,
+    )
+}
