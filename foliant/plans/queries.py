@@ -44,7 +44,7 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 7 != 0, F.col("doc_id").cast("int")).alias("page_number"),
         "text",
         F.concat(words, F.array(F.lit(" "), "lang")).alias("keyword_summaries"),
-        F.array(F.concat(F.lit(" "), F.element_at(words, 1), F.lit("? ")), F.when(F.col("doc_id") % 3 == 0, "").otherwise("lang")).alias("generated_questions"),
+        F.array(F.concat(F.lit(" "), F.element_at(words, 1), F.lit("? ")), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))).alias("generated_questions"),
         F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 11 != 0).alias("is_meaningful"),
     )
 
