@@ -8,10 +8,13 @@ shuffles the shingle, the second, circularly shifted by k, gives coordinate k.
 1. One pass over the texts: set size, set digest, band keys, low bytes of the signature.
 2. Documents with equal sets become one representative (the smallest doc_id).
 3. Star round: in every bucket each representative is compared with the bucket's smallest.
-4. Closing round: in buckets that still hold several components, the pairs across them, by blocks
-   of bounded size.  Pairs must pass the size bound and a signature estimate of ``threshold`` less
-   ``slack``.
-5. Every pair is confirmed on the full sets, recomputed from whole texts; links form components.
+4. Families: where a bucket still holds several components, those with members whose signatures agree
+   by ``threshold`` less ``slack`` come together; only links that join something new are given out.
+5. Closing round: the members of a family meet in blocks of bounded size, which hold their full sets
+   and link every pair across components that is similar enough.  Members of one large component do
+   not meet each other again.
+
+All links are confirmed on the full sets, recomputed from whole texts.
 
 Rows with null text have empty sets.  Repeated doc_ids are one document in the components, each row
 comes back.  A null doc_id has a null component and is kept.  Empty tables give empty results.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import documents, table, text_of
 
 BANDS, ROWS = 28, 5
-BLOCK = 512  # representatives of one bucket that meet in one block of the closing round
+BLOCK = 256  # representatives of one bucket or family in one block
 SALT = 256  # partners of one representative that are verified together
 
 _U = np.uint64
@@ -74,8 +77,19 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(np.add.reduceat(value, first) + size.astype(np.uint64)), n_words
 
 
-def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[str], width: int, most: int = 1 << 20) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text.  Texts are taken together up to ``most``
+    characters (one longer text alone), as their words need many times their size in memory."""
+    out, at, size = [], 0, 0
+    for k, x in enumerate(texts):
+        if k > at and size + len(x) > most:
+            out += _shingle_sets(texts[at:k], width)
+            at, size = k, 0
+        size += len(x)
+    return out + _shingle_sets(texts[at:], width)
+
+
+def _shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     words, n_words = word_hashes(texts)
     ends = np.cumsum(n_words)
     whole = np.zeros(max(0, len(words) - width + 1), np.uint64)
@@ -218,45 +232,124 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots)
 
 
-def _across(floor: float, percent: int):
-    """Pairs of different components in each block pair of a bucket; rows come sorted by it."""
+def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs that join what no earlier pair has joined."""
+    above: dict[int, int] = {}
 
-    def match(low_x: np.ndarray, low_y: np.ndarray) -> np.ndarray:
-        return (low_x[:, None, :] == low_y[None, :, :]).mean(2)
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for x, y in pairs:
+        a, b = root(x), root(y)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
 
-    def pairs(g: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j, own = g["i"].to_numpy(), g["j"].to_numpy(), g["own"].to_numpy()
-        rep, n, comp = g["rep"].to_numpy(), g["n"].to_numpy(), g["component"].to_numpy()
-        low = np.frombuffer(b"".join(g["low"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        left = np.flatnonzero(own == i[0])
-        right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            ok = (comp[x][:, None] != comp[right][None, :]) & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :]))
-            if ok.any():
-                ok &= match(low[x], low[right]) >= floor
-                p, q = np.nonzero(ok)
-                p, q = rep[x[p]], rep[right[q]]
-                yield np.minimum(p, q), np.maximum(p, q)
+
+def _by_group(keys: list[str], pairs):
+    """A mapInArrow function for rows sorted by ``keys``: for every group, which may span batches, the
+    forest of what ``pairs`` gives for its table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+
+        def out(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            if found := [x for g in groups for x in _forest(pairs(g))]:
+                yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([held, t]) if held is not None else t
-            key = np.stack([t[c].to_numpy() for c in ("key", "i", "j")], 1)
+            key = np.stack([t[c].to_numpy() for c in keys], 1)
             first = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1))
-            found = [x for s, e in zip(first[:-1], first[1:]) for x in pairs(t.slice(s, e - s))]
+            yield from out([t.slice(s, e - s) for s, e in zip(first[:-1], first[1:])])
             held = t.slice(first[-1]).combine_chunks()
-            if found:
-                yield pa.record_batch({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
         if held is not None:
-            for a, b in pairs(held):
-                yield pa.record_batch({"a": a, "b": b})
+            yield from out([held])
 
     return work
 
 
+def _alike(floor: float, percent: int):
+    """Pairs of components of a bucket's block pair with members that agree in their signatures."""
+
+    def pairs(g: pa.Table) -> Iterator[tuple[int, int]]:
+        i, j, own = g["i"].to_numpy(), g["j"].to_numpy(), g["own"].to_numpy()
+        n, comp = g["n"].to_numpy(), g["component"].to_numpy()
+        low = np.frombuffer(b"".join(g["low"].to_pylist()), np.uint8).reshape(len(n), -1)
+        left = np.flatnonzero(own == i[0])
+        right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            ok = (comp[x][:, None] != comp[right][None, :]) & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :]))
+            if ok.any():
+                p, q = np.nonzero(ok)
+                near = np.concatenate([(low[x[p[k : k + 4096]]] == low[right[q[k : k + 4096]]]).mean(1) >= floor for k in range(0, len(p), 4096)])
+                yield from {(int(c), int(d)) for c, d in zip(comp[x[p[near]]], comp[right[q[near]]])}
+
+    return pairs
+
+
+def common_counts(sets: list[np.ndarray], wide: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = often[column] > 1
+    column, row = (np.cumsum(often > 1) - 1)[column[keep]], row[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        s = slice(*np.searchsorted(column, [at, at + wide]))
+        m = np.zeros((len(sets), wide), np.float32)
+        m[row[s], column[s] - at] = 1
+        out += m @ m.T
+    return out
+
+
+def _close(width: int, percent: int):
+    """Pairs of components in a family's block pair with members that are linked."""
+    def pairs(g: pa.Table) -> Iterator[tuple[int, int]]:
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
+        comp = g["component"].to_numpy()
+        if len(np.unique(comp)) > 1:
+            sets = shingle_sets([unzip.decompress(z).decode() for z in g["z"].to_pylist()], width)
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            both = common_counts(sets)
+            p, q = np.nonzero((comp[:, None] < comp[None, :]) & (100 * both >= percent * (n[:, None] + n[None, :] - both)))
+            yield from set(zip(comp[p].tolist(), comp[q].tolist()))
+
+    return pairs
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """``family, xc, xk, yc, yk`` and the members that meet there.  A component of BLOCK members or more
+    has slots (component, k) of its own, the others of a family share slots (-1, k); every two slots
+    meet, and a shared one meets itself, but for those of one component."""
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n_c"))
+    pooled = sizes.where(F.col("n_c") < BLOCK).groupBy("family").agg(F.sum("n_c").alias("n_p"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK).cast("long") - 1))
+    slots = sizes.where(F.col("n_c") >= BLOCK).select("family", F.col("component").alias("c"), upto("n_c").alias("k")).unionByName(pooled.select("family", F.lit(-1).cast("long").alias("c"), upto("n_p").alias("k")))
+    x, y = (slots.select("family", F.col("c").alias(f"{s}c"), F.col("k").alias(f"{s}k")) for s in "xy")
+    met = x.join(y, "family").where("(xc < yc or (xc = yc and xk <= yk)) and (xc <> yc or xc = -1)")
+    big = F.col("n_c") >= BLOCK
+    place = members.join(sizes, ["family", "component"]).join(pooled, "family", "left").select(
+        "family", "component", "rep", F.when(big, F.col("component")).otherwise(-1).alias("c"), F.pmod(F.xxhash64("rep"), F.ceil(F.when(big, F.col("n_c")).otherwise(F.col("n_p")) / BLOCK).cast("long")).alias("k")
+    )
+    at = met.select("*", F.explode(F.array_distinct(F.array(F.struct(F.col("xc").alias("c"), F.col("xk").alias("k")), F.struct(F.col("yc").alias("c"), F.col("yk").alias("k"))))).alias("s"))
+    at = at.select("family", "xc", "xk", "yc", "yk", "s.c", "s.k")
+    return place.join(at, ["family", "c", "k"]).select("family", "xc", "xk", "yc", "yk", "rep", "component")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.15) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; documents are linked
     where 100 * intersection >= percent * union."""
@@ -287,10 +380,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     met = block.select("key", "rep", "n", "component", "low", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "component", "low", "own")
     met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = met.mapInArrow(_across(percent / 100 - slack, percent), "a long, b long").distinct()
-    rest = table(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = table(verified(rest, texts, width, percent), "links")
-    found = components(links.unionByName(more))
+    alike = met.mapInArrow(_by_group(["key", "i", "j"], _alike(percent / 100 - slack, percent)), "a long, b long")
+    families = components(alike).select(F.col("id").alias("component"), F.col("component").alias("family"))
+    members = reps.select("rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(families, "component")
+    group = ["family", "xc", "xk", "yc", "yk"]
+    meet = _meetings(table(members.select("family", "component", "rep"), "members")).join(texts.withColumnRenamed("id", "rep"), "rep")
+    meet = meet.select(*group, "component", "z").repartition(*group).sortWithinPartitions(*group)
+    more = table(meet.mapInArrow(_by_group(group, _close(width, percent)), "a long, b long"), "links")
+    joined = components(more)
+    found = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    single = joined.select("id", "component").join(found.select("id"), "id", "left_anti")
+    found = found.unionByName(single)
 
     rep_of = reps.select(*sets, "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", *sets).join(rep_of, sets, "left")
