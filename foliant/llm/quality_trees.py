@@ -103,7 +103,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     share = float(y.mean()) if len(y) else 0.5
     base = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     column, cut, below, above, value, roots = [], [], [], [], [], []
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         trees = 0
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])] if trees else []
     binned = np.stack([np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)], 1) if trees else x

@@ -77,7 +77,7 @@ class Model:
     bias: float
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 70, whole_epochs: int = 10, rate: float = 0.05, decay: float = 1e-5, least: int = 8, lean: float = 1.5, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = 100, whole_epochs: int = 25, rate: float = 0.1, decay: float = 1e-5, least: int = 4, lean: float = 1.5, seed: int = 7) -> Model:
     """Embeddings and softmax by Adam over all windows, then over the top window of each text.
     Buckets that fewer than ``least`` texts reach stay zero, as unseen ones do; the toxic class
     weighs ``lean`` times the other."""
