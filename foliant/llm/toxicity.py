@@ -80,11 +80,13 @@ class Model:
 def fit(texts: list[str], labels: list[int], epochs: int = 100, whole_epochs: int = 25, rate: float = 0.1, decay: float = 1e-5, least: int = 4, lean: float = 1.5, seed: int = 7) -> Model:
     """Embeddings and softmax by Adam over all windows, then over the top window of each text.
     Buckets that fewer than ``least`` texts reach stay zero, as unseen ones do; the toxic class
-    weighs ``lean`` times the other."""
+    weighs ``lean`` times the other.  The empty text is an example of class 0, at a tenth of the weight
+    of all."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    texts, y = [*texts, ""], np.append(y, 0)
     index: dict[str, int] = {}
     tokens, sizes = [], []
     for x in texts:
@@ -111,7 +113,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 100, whole_epochs: in
     rng = np.random.default_rng(seed)
     params = [(rng.normal(0, 0.05, (BUCKETS, DIM)) * common[:, None]).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    balance = np.array([0.5 / (y == 0).mean(), lean * 0.5 / (y == 1).mean()]) / len(y)
+    balance = np.array([0.5 / (y == 0).mean(), lean * 0.5 / (y == 1).mean()])[y] / len(y)
+    balance[-1] = 0.1
 
     for epoch in range(epochs):
         # Of two classes the softmax needs the difference of the logits only.
@@ -125,7 +128,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 100, whole_epochs: in
         else:
             use = np.lexsort((z, win_doc))[np.cumsum(n_win) - 1]
             weight = np.ones(len(use))
-        d = (1 / (1 + np.exp(-z[use])) - y[win_doc[use]]) * weight * balance[y[win_doc[use]]]
+        d = (1 / (1 + np.exp(-z[use])) - y[win_doc[use]]) * weight * balance[win_doc[use]]
         per_win = np.zeros(len(win_doc), np.float32)
         per_win[use] = d * scale[use]
         word = np.bincount(token, per_win[token_win], len(index)) * per_word
