@@ -97,7 +97,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _changes(x: Column) -> Column:
     """How often letters and digits alternate."""
-    return F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[0-9]+", "#"), "[A-Za-z]+", "a"), "", "")) - 1
+    return F.length(F.regexp_replace(F.regexp_replace(x, "[0-9]+", "#"), "[A-Za-z]+", "a")) - 1
 
 
 def _votes(c: Column) -> list[Column]:
