@@ -113,16 +113,17 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], to
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, strength: float = 60.0, telling: str = TELLING) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``posterior``, ``domain`` (the likeliest) and ``rate``.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, strength: float = 60.0, telling: str = TELLING, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (by default all) with ``n_tokens``, ``posterior``, ``domain`` (the
+    likeliest) and ``rate``.  Rows are written with their counts once; what follows reads these.
 
     ``labelled`` holds ``doc_id, domain``; the smallest domain counts where a doc_id has several."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_tokens", "posterior", "domain", "rate")])
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "posterior", "domain", "rate")]
     known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    counted = table(_features(docs.select("doc_id", "text"), telling).select("row.doc_id", "n_tokens", "counts"), "features")
-    domains = train_domains(counted, known, strength)
+    counted = table(_features(docs, telling).select("row.doc_id", F.struct(*[F.col(f"row.`{c}`") for c in keep]).alias("row"), "n_tokens", "counts"), "features")
+    domains = train_domains(counted.select("doc_id", "counts"), known, strength)
     steps = fit_rates(table(domains.apply(counted.select("n_tokens", "counts")), "posteriors"), domains.names, targets, total)
-    rows = domains.apply(_features(docs, telling))
+    rows = domains.apply(counted.select("row", "n_tokens", "counts"))
     rate = _rate([F.col("posterior")[k] for k in range(len(domains.names))], steps)
     best = F.lit(None).cast("string")
     if domains.names:
@@ -148,5 +149,5 @@ def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir).select("doc_id", "text"), language_labels(spark, sf_dir), TARGETS)
+    out = mix(documents(spark, sf_dir), language_labels(spark, sf_dir), TARGETS, keep=["doc_id"])
     return out.select("doc_id", "n_tokens", "domain", F.array_max("posterior").alias("membership"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
