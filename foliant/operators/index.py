@@ -64,12 +64,13 @@ def term_stats(postings: DataFrame) -> DataFrame:
 
 
 def bm25_stats(chunks: DataFrame, postings: DataFrame, epsilon: float = EPSILON) -> Bm25Stats:
-    """Three numbers over the whole corpus; nothing else comes to the driver."""
+    """Three numbers over the whole corpus, in one pass over the postings; nothing else comes to the
+    driver."""
     n = chunks.count()
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean = term_stats(postings).agg(F.avg(raw)).first()[0] or 0.0
-    total = postings.agg(F.sum("tf")).first()[0] or 0
-    return Bm25Stats(n, total / n if n else 0.0, epsilon * mean)
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    got = terms.agg(F.avg(raw).alias("mean"), F.sum("tf").alias("total")).first()
+    return Bm25Stats(n, (got["total"] or 0) / n if n else 0.0, epsilon * (got["mean"] or 0.0))
 
 
 def phrase_dictionary(chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ broken or incomplete.  Arrays, maps and structs leave as strings or rows."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,13 +174,13 @@ def postings(spark, sf_dir):
 
 
 def bm25_stats(spark, sf_dir):
-    p = _postings(spark, sf_dir)
-    s = index.bm25_stats(doc_chunks(spark, sf_dir), p)
+    p, s = _bm25(spark, sf_dir)
     return index.term_stats(p).select("term", "df", _r(s.idf(F.col("df"))).alias("idf"))
 
 
 def _bm25(spark, sf_dir):
-    p = _postings(spark, sf_dir)
+    """Postings stand for an index table that is read: they are kept while statistics and search use them."""
+    p = _postings(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     return p, index.bm25_stats(doc_chunks(spark, sf_dir), p)
 
 
@@ -280,6 +281,12 @@ def _verdicts(spark, sf_dir, merged):
     return merged.select("request_id", "chunk_id").join(marks, "chunk_id")
 
 
+def _merged(spark, sf_dir):
+    """Merged candidates, few rows a request, kept for the steps that use them twice."""
+    hits = _hits(spark, sf_dir)
+    return hits, retrieve.merge_paths(hits).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _shown(merged):
     paths = F.array_join(F.transform(F.map_entries("retrieved_from_paths"), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 6))), ";")
     return merged.select("request_id", "position", "chunk_id", "retrieval_score", "retrieval_type", paths.alias("paths"))
@@ -290,12 +297,12 @@ def merge_paths(spark, sf_dir):
 
 
 def filter_useful(spark, sf_dir):
-    merged = retrieve.merge_paths(_hits(spark, sf_dir))
+    _, merged = _merged(spark, sf_dir)
     return _shown(retrieve.filter_useful(merged, _verdicts(spark, sf_dir, merged)))
 
 
 def assemble_context(spark, sf_dir):
-    merged = retrieve.merge_paths(_hits(spark, sf_dir))
+    _, merged = _merged(spark, sf_dir)
     useful = retrieve.filter_useful(merged, _verdicts(spark, sf_dir, merged))
     out = retrieve.assemble_context(useful, doc_chunks(spark, sf_dir))
     return out.select("request_id", "context", F.array_join("chunk_ids", ",").alias("chunk_ids"))
@@ -306,13 +313,12 @@ def _asked(spark, sf_dir):
 
 
 def request_outcomes(spark, sf_dir):
-    merged = retrieve.merge_paths(_hits(spark, sf_dir))
+    _, merged = _merged(spark, sf_dir)
     return retrieve.request_outcomes(_asked(spark, sf_dir), merged, retrieve.filter_useful(merged, _verdicts(spark, sf_dir, merged)))
 
 
 def retrieval_stats(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
-    merged = retrieve.merge_paths(hits)
+    hits, merged = _merged(spark, sf_dir)
     return retrieve.retrieval_stats(hits, merged, retrieve.filter_useful(merged, _verdicts(spark, sf_dir, merged)))
 
 
