@@ -47,9 +47,15 @@ def _attempts(rows: DataFrame, call: Model, parse, open_: str, most: int, path:
     return done
 
 
-def repair(chunks: DataFrame, call: Model, template: str, path: str, attempts: int = 5) -> DataFrame:
+def first_rows(chunks: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` chunks in the order of documents, pages and chunks; all without a limit."""
+    return chunks if limit is None else chunks.orderBy("doc_name", "page_ord", "chunk_no").limit(limit)
+
+
+def repair(chunks: DataFrame, call: Model, template: str, path: str, attempts: int = 5, limit: int | None = None) -> DataFrame:
     """Middle chunks of every document repaired with their neighbours in sight."""
     key = ["doc_name", "page_ord", "chunk_no"]
+    chunks = first_rows(chunks, limit)
     asked = model.build_requests(windows.context_windows(chunks), template, "repair").select(*key, "request")
     tried = _attempts(asked, call, responses.parse_refinement, "status = 'json_decode_error'", attempts, path, key)
     one = tried.withColumn("_key", F.struct(*key))
@@ -57,9 +63,10 @@ def repair(chunks: DataFrame, call: Model, template: str, path: str, attempts: i
     return responses.apply_refinements(chunks.withColumn("_key", F.struct(*key)), good, "_key").drop("_key")
 
 
-def annotate(chunks: DataFrame, call: Model, template: str, path: str, attempts: int = 3) -> DataFrame:
+def annotate(chunks: DataFrame, call: Model, template: str, path: str, attempts: int = 3, limit: int | None = None) -> DataFrame:
     """Meaningful chunks with phrases and questions."""
     key = ["doc_name", "page_ord", "chunk_no"]
+    chunks = first_rows(chunks, limit)
     asked = model.build_requests(chunks, template, "annotation").select(*key, "request")
     tried = _attempts(asked, call, responses.parse_annotations, "not valid", attempts, path, key)
     first = responses.first_valid(tried.withColumn("_key", F.struct(*key)), "_key", attempts)

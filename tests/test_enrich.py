@@ -56,6 +56,8 @@ def test_jobs_repair_and_annotate(spark, tmp_path):
     assert [r.text for r in out.orderBy("page_ord").collect()] == ["alpha", "alpha-beta-gamma", "gamma"]
     kept = annotate(chunks, lambda xs: [_answer("beta" not in x) for x in xs], "{chunk_id}: {text}", str(tmp_path / "a"))
     assert sorted(r.text for r in kept.collect()) == ["alpha", "gamma"]
+    first = annotate(chunks, lambda xs: [_answer(True) for _ in xs], "{text}", str(tmp_path / "l"), limit=2)
+    assert sorted(r.text for r in first.collect()) == ["alpha", "beta"]
 
 
 def test_select_indexable(spark):
