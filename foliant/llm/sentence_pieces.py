@@ -54,7 +54,7 @@ class Chunks(Memo):
 class MergeVocabulary:
     """The pieces of one model with their merge order."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 450_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
