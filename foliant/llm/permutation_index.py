@@ -4,14 +4,19 @@ Every vector is represented by its ``length`` nearest pivots in order.  The inde
 of about ``shard_rows`` vectors (dealt by a hash of vec_id, so copies of one vector spread); a shard
 posts its vectors in one inverted file a pivot, with the pivot's place in the vector's order.  Queries
 go through their own pivots' files, rank the vectors by the footrule distance of the two orders over
-these pivots (one that a vector lacks stands one past the end) and rerank the nearest ``rerank`` share
-of the shard (1,024 at least) by the inner product of the original vectors in double precision.  The shards' nearest are merged.
-
-Pivots are ``pivots`` distinct vectors, first in the order of a hash (the bounded sample the index is
-fitted on).  Vectors that are null, zero, hold null or non-finite components, or are not of the most
-frequent length take no part, nor do rows with a null vec_id.  Ties go to the smaller vec_id; a
-repeated vec_id is a candidate as often as it occurs, except for queries of that id.  Other columns
-are ignored.  Empty tables give empty results.
+these pivots (one that a vector lacks stands one past the end) and rerank in that order, a ``rerank``
+share of the shard at a time, by the inner product of the original vectors in double precision, until
+three such blocks in a row bring nothing among the shard's nearest; equal distances are never parted.
+The shards' nearest are merged.
+
+Pivots are ``pivots`` vectors, each the farthest from those before it, of eight times as many distinct
+ones that are first in the order of a hash (the bounded sample the index is fitted on), so that a large
+group of near copies does not take up the pivots.
+
+Vectors that are null, zero, hold null or non-finite components, or are not of the most frequent length
+take no part, nor do rows with a null vec_id.  Ties go to the smaller vec_id; a repeated vec_id is a
+candidate as often as it occurs, except for queries of that id.  Other columns are ignored.  Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import table
 
+SAMPLE = 8  # vectors looked at for a pivot
+IDLE = 3  # blocks in a row without a new neighbour that end a search
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -38,8 +45,15 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def choose_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
     """At most ``pivots`` distinct vectors."""
-    rows = vectors.groupBy(F.xxhash64("embedding").alias("h")).agg(F.min_by("embedding", "vec_id").alias("embedding")).orderBy("h").limit(pivots).collect()
-    return np.array([r["embedding"] for r in rows], float)
+    rows = vectors.groupBy(F.xxhash64("embedding").alias("h")).agg(F.min_by("embedding", "vec_id").alias("embedding")).orderBy("h").limit(SAMPLE * pivots).collect()
+    sample = np.array([r["embedding"] for r in rows], float)
+    away, at, chosen = np.full(len(sample), np.inf), 0, []
+    while len(chosen) < min(pivots, len(sample)):
+        chosen.append(at)
+        away = np.minimum(away, ((sample - sample[at]) ** 2).sum(1))
+        away[at] = -1.0
+        at = int(away.argmax())
+    return sample[chosen]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -62,7 +76,7 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, length: int) -> DataFra
     return vectors.mapInArrow(work, "vec_id long, embedding array<double>, pivots array<int>")
 
 
-def _search(k: int, rerank: float, least: int = 1024):
+def _search(k: int, rerank: float):
     def work(shard: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if shard.num_rows and queries.num_rows:
@@ -72,20 +86,28 @@ def _search(k: int, rerank: float, least: int = 1024):
             # The shard's inverted files: for each pivot its place in the order of every vector.
             files = np.full((int(max(perm.max(), _matrix(queries["pivots"]).max())) + 1, n), length, np.int16)
             files[perm, np.arange(n)[:, None]] = np.arange(length, dtype=np.int16)
-            places, tie = np.arange(length, dtype=np.int16)[:, None], np.arange(n)
-            most = max(k, least, int(np.ceil(rerank * n)))
+            places = np.arange(length, dtype=np.int16)[:, None]
+            step = max(k, int(np.ceil(rerank * n)))
             for q, y, own in zip(queries["vec_id"].to_pylist(), _matrix(queries["embedding"]), _matrix(queries["pivots"])):
                 away = files[own]
                 away -= places
                 np.abs(away, out=away)
-                key = away.sum(0, dtype=np.int32) * np.int64(n) + tie  # ties to the smaller vec_id
-                near = np.argpartition(key, most)[:most] if most < n else np.arange(n)
-                near = near[ids[near] != q]
-                score = (x[near] * y).sum(1)
-                best = np.lexsort((ids[near], -score))[:k]
+                far = away.sum(0, dtype=np.int32)
+                order = np.argsort(far, kind="stable")
+                far = far[order]
+                best, best_s = np.zeros(0, np.int64), np.zeros(0)
+                upto, idle = 0, 0
+                while upto < n and idle < IDLE:
+                    end = int(np.searchsorted(far, far[min(n, upto + step) - 1], "right"))
+                    near = order[upto:end]
+                    near = near[ids[near] != q]
+                    found, score = np.concatenate([best, near]), np.concatenate([best_s, (x[near] * y).sum(1)])
+                    first = np.lexsort((ids[found], -score))[:k]
+                    idle = 0 if (first >= len(best)).any() else idle + 1
+                    best, best_s, upto = found[first], score[first], end
                 out_q += [q] * len(best)
-                out_v.append(ids[near[best]])
-                out_s.append(score[best])
+                out_v.append(ids[best])
+                out_s.append(best_s)
         join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": join(out_v, np.int64), "score": join(out_s, np.float64)})
 

@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,28 @@ def test_permutation_index(spark):
     assert len(tied) > 2 and tied == [k for k in range(50, 150) if k != 60][: len(tied)]  # ties to the smaller id
 
 
+@pytest.mark.parametrize("copies", [0, 8192])
+def test_permutation_index_full_shards(spark, tmp_path, copies):
+    """Recall on three full shards, without and with a third of the rows near copies of one vector."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3 * 8192, 32))
+    x[:copies] = x[0] + 0.05 * rng.normal(size=(copies, 32))
+    x = x[rng.permutation(len(x))]
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), tmp_path / "vectors.parquet")
+    vectors = spark.read.parquet(str(tmp_path / "vectors.parquet"))
+    got = defaultdict(set)
+    for r in permutation_index.nearest(vectors, vectors.where("vec_id % 200 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    assert len(got) == 123
+    recall = []
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(found & set(np.argsort(-s)[:20].tolist())) / 20)
+    print(f"recall with {copies} near copies: {np.mean(recall):.4f}")
+    assert np.mean(recall) >= 0.98
+
+
 def test_permutation_index_small_and_empty(spark):
     _, vectors = _vectors(spark)
     few = vectors.where("vec_id < 3")
