@@ -6,7 +6,8 @@ linked with nothing.  Two permutations of the 32-bit universe make all coordinat
 shuffles the shingle, the second, circularly shifted by k, gives coordinate k.
 
 1. One pass over the texts: set size, set digest, band keys, low bytes of the signature.
-2. Documents with equal sets become one representative (the smallest doc_id).
+2. Documents with equal sets become one representative, numbered apart from doc_ids; the sets of one
+   doc_id are linked.
 3. Star round: in every bucket each representative is compared with the bucket's smallest.
 4. Families: where a bucket still holds several components, those with members whose signatures agree
    by ``threshold`` less ``slack`` come together; only links that join something new are given out.
@@ -16,8 +17,8 @@ shuffles the shingle, the second, circularly shifted by k, gives coordinate k.
 
 All links are confirmed on the full sets, recomputed from whole texts.
 
-Rows with null text have empty sets.  Repeated doc_ids are one document in the components, each row
-comes back.  A null doc_id has a null component and is kept.  Empty tables give empty results.
+Rows with null text have empty sets.  Repeated doc_ids are one document in the components, whatever
+their texts; each row comes back.  A null doc_id has a null component and is kept.  Empty tables give empty results.
 Columns of ``docs`` other than ``doc_id`` and ``text`` are not used.
 """
 
@@ -151,6 +152,7 @@ def _sketch(width: int, bands: int, rows: int, step: int = 1000):
                 yield pa.record_batch(
                     {
                         "doc_id": b.column("doc_id"),
+                        "text_key": b.column("text_key"),
                         "n_shingles": pa.array(n),
                         "set_a": pa.array(digest[:, 0]),
                         "set_b": pa.array(digest[:, 1]),
@@ -163,9 +165,9 @@ def _sketch(width: int, bands: int, rows: int, step: int = 1000):
 
 
 def sketches(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands, low`` of every row."""
-    inner = docs.select(F.col("doc_id").cast("long"), text_of().cast("string").alias("text"))
-    return inner.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, low binary")
+    """``doc_id, text_key, n_shingles, set_a, set_b, bands, low`` of every row."""
+    inner = docs.select(F.col("doc_id").cast("long"), text_of().cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return inner.mapInArrow(_sketch(width, bands, rows), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, low binary")
 
 
 def _verify(width: int, percent: int):
@@ -197,7 +199,7 @@ def _zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pa.record_batch({"id": b.column("id"), "z": pa.array([z.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary())})
+        yield pa.record_batch({"of": b.column("of"), "text_key": b.column("text_key"), "z": pa.array([z.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary())})
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -356,20 +358,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sketch = table(sketches(docs, width, bands, rows), "sketches")
     sets = ["n_shingles", "set_a", "set_b"]
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy(*sets).agg(F.min(F.struct("doc_id", "bands", "low")).alias("r"))
-    reps = table(reps.select(*sets, F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), F.col("r.low").alias("low")), "reps")
+    reps = full.groupBy(*sets).agg(F.min(F.struct("doc_id", "text_key", "bands", "low")).alias("r"))
+    reps = table(reps.select(*sets, F.monotonically_increasing_id().alias("rep"), "r.doc_id", "r.text_key", "r.bands", "r.low"), "reps")
+
+    # The sets of a repeated doc_id: each is linked with the first of them.
+    several = full.groupBy("doc_id").agg(F.min(F.struct(*sets)).alias("x"), F.max(F.struct(*sets)).alias("y")).where("x <> y")
+    own = full.join(several, "doc_id").select(*sets, *[F.col(f"x.{c}").alias(f"x_{c}") for c in sets]).distinct()
+    own = own.join(reps.select(*sets, F.col("rep").alias("b")), sets).join(reps.select(*[F.col(c).alias(f"x_{c}") for c in sets], F.col("rep").alias("a")), [f"x_{c}" for c in sets])
 
     rows_ = reps.select(F.col("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = rows_.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
     shared = table(rows_.join(buckets, "key").select("key", "rep", "n", "c", "size"), "buckets")
 
-    involved = shared.select(F.col("rep").alias("id")).distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().cast("string").alias("text")).mapInArrow(_zip_texts, "id long, z binary")
-    texts = table(source.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    involved = reps.join(shared.select("rep").distinct(), "rep").select("rep", F.col("doc_id").alias("of"), "text_key")
+    source = docs.select(F.col("doc_id").cast("long").alias("of"), text_of().cast("string").alias("text")).withColumn("text_key", F.xxhash64("text")).mapInArrow(_zip_texts, "of long, text_key long, z binary")
+    texts = table(source.join(involved, ["of", "text_key"]).select(F.col("rep").alias("id"), "z").dropDuplicates(["id"]), "texts")
 
     fits = F.expr(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
     stars = table(shared.where("rep <> c.rep").where(fits).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = table(verified(stars, texts, width, percent), "links")
+    links = table(verified(stars, texts, width, percent).unionByName(own.where("a <> b").select("a", "b")), "links")
     found = components(links)
 
     placed = shared.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -392,7 +399,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     single = joined.select("id", "component").join(found.select("id"), "id", "left_anti")
     found = found.unionByName(single)
 
-    rep_of = reps.select(*sets, "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))
+    named = found.join(reps.select(F.col("rep").alias("id"), "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = found.join(named, "component").select(F.col("id").alias("rep"), "least")
+    rep_of = reps.select(*sets, "rep", F.col("doc_id").alias("of")).join(named, "rep", "left").select(*sets, F.coalesce("least", "of").alias("component"))
     out = sketch.select("doc_id", *sets).join(rep_of, sets, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

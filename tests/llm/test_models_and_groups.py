@@ -257,6 +257,21 @@ def test_near_duplicates_empty_and_repeated(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(twice).collect()) == [(0, 0, True), (1, 0, False), (1, 0, False)]
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """Rows of one doc_id with different texts: every text keeps its links, and the rows are one document."""
+    words = lambda k: [f"w{k}x{i}" for i in range(60)]
+    rows = []
+    for k in range(20):
+        a, b, c = 40 * k, 40 * k + 2, 40 * k + 1
+        p, q = words(2 * k), words(2 * k + 1)
+        rows += [(a, " ".join(p)), (a, " ".join(q)), (b, " ".join(p + ["end"])), (c, " ".join(q + ["end"]))]
+        rows += [(a + 10, " ".join(["v"] + p[::-1])), (a + 12, " ".join(p[::-1])), (a + 12, " ".join(q[::-1])), (a + 11, " ".join(["v"] + q[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()}
+    want = {(40 * k + d, 40 * k + low, d == low) for k in range(20) for low, ds in ((0, (0, 1, 2)), (10, (10, 11, 12))) for d in ds}
+    assert got == want
+
+
 def test_circulant_signatures_estimate_jaccard():
     rng = np.random.default_rng(8)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
