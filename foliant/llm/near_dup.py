@@ -13,7 +13,7 @@ shuffles the shingle, the second, circularly shifted by k, gives coordinate k.
    by ``threshold`` less ``slack`` come together; only links that join something new are given out.
 5. Closing round: the members of a family meet in blocks of bounded size, which hold their full sets
    and link every pair across components that is similar enough.  Members of one large component do
-   not meet each other again.
+   not meet each other again, nor, in a family of more than one block, sets too different in size.
 
 All links are confirmed on the full sets, recomputed from whole texts.
 
@@ -24,6 +24,7 @@ Columns of ``docs`` other than ``doc_id`` and ``text`` are not used.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import documents, table, text_of
 
-BANDS, ROWS = 28, 5
+ROWS = 5  # coordinates of a band
+MISS = 1e-7  # chance that no band shows a pair at the threshold
 BLOCK = 256  # representatives of one bucket or family in one block
 SALT = 256  # partners of one representative that are verified together
 
@@ -43,7 +45,7 @@ _BYTE = _rng.integers(1, 2**63, 256).astype(np.uint64) * _U(2) + _U(1)
 _BASE = int(_rng.integers(1, 2**62)) * 8 + 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.ones(1, np.uint64)
+_powers = np.zeros(0, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> np.ndarray:
+    """The first powers of the base, at least ``n``: the same ones whatever a worker has met before."""
     global _powers
     if len(_powers) < n:
         _powers = np.cumprod(np.full(max(n, 1024), _BASE % 2**64, np.uint64))
@@ -164,7 +167,7 @@ def _sketch(width: int, bands: int, rows: int, step: int = 1000):
     return work
 
 
-def sketches(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketches(docs: DataFrame, width: int, bands: int, rows: int = ROWS) -> DataFrame:
     """``doc_id, text_key, n_shingles, set_a, set_b, bands, low`` of every row."""
     inner = docs.select(F.col("doc_id").cast("long"), text_of().cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     return inner.mapInArrow(_sketch(width, bands, rows), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, low binary")
@@ -333,28 +336,42 @@ def _close(width: int, percent: int):
     return pairs
 
 
-def _meetings(members: DataFrame) -> DataFrame:
-    """``family, xc, xk, yc, yk`` and the members that meet there.  A component of BLOCK members or more
-    has slots (component, k) of its own, the others of a family share slots (-1, k); every two slots
-    meet, and a shared one meets itself, but for those of one component."""
-    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n_c"))
-    pooled = sizes.where(F.col("n_c") < BLOCK).groupBy("family").agg(F.sum("n_c").alias("n_p"))
+MEETING = ["family", "xc", "xw", "xk", "yc", "yw", "yk"]
+
+
+def _meetings(members: DataFrame, percent: int) -> DataFrame:
+    """The columns MEETING and the members (``rep, component``) that meet there.  Families of more than
+    BLOCK members are cut into windows of set sizes; sets that are similar enough stand in one window
+    or in neighbouring ones.  In a window a component of BLOCK members or more has slots (component, k)
+    of its own, the others share slots (-1, k); slots of near windows meet, but not those of one
+    component."""
+    whole = members.groupBy("family").agg(F.count("*").alias("n_f"))
+    window = F.when(F.col("n_f") > BLOCK, F.floor(F.log(F.col("n").cast("double")) / (math.log(100.0 / min(percent, 99)) + 1e-9))).otherwise(0).cast("long")
+    placed = members.join(whole, "family").select("family", "component", "rep", window.alias("w"))
+    sizes = placed.groupBy("family", "w", "component").agg(F.count("*").alias("n_c"))
+    pooled = sizes.where(F.col("n_c") < BLOCK).groupBy("family", "w").agg(F.sum("n_c").alias("n_p"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK).cast("long") - 1))
-    slots = sizes.where(F.col("n_c") >= BLOCK).select("family", F.col("component").alias("c"), upto("n_c").alias("k")).unionByName(pooled.select("family", F.lit(-1).cast("long").alias("c"), upto("n_p").alias("k")))
-    x, y = (slots.select("family", F.col("c").alias(f"{s}c"), F.col("k").alias(f"{s}k")) for s in "xy")
-    met = x.join(y, "family").where("(xc < yc or (xc = yc and xk <= yk)) and (xc <> yc or xc = -1)")
+    slots = sizes.where(F.col("n_c") >= BLOCK).select("family", "w", F.col("component").alias("c"), upto("n_c").alias("k")).unionByName(pooled.select("family", "w", F.lit(-1).cast("long").alias("c"), upto("n_p").alias("k")))
+    x, y = (slots.select("family", *[F.col(n).alias(f"{s}{n}") for n in "cwk"]) for s in "xy")
+    met = x.join(y, "family").where("abs(xw - yw) <= 1 and struct(xc, xw, xk) <= struct(yc, yw, yk) and (xc <> yc or xc = -1)")
     big = F.col("n_c") >= BLOCK
-    place = members.join(sizes, ["family", "component"]).join(pooled, "family", "left").select(
-        "family", "component", "rep", F.when(big, F.col("component")).otherwise(-1).alias("c"), F.pmod(F.xxhash64("rep"), F.ceil(F.when(big, F.col("n_c")).otherwise(F.col("n_p")) / BLOCK).cast("long")).alias("k")
+    place = placed.join(sizes, ["family", "w", "component"]).join(pooled, ["family", "w"], "left").select(
+        "family", "w", "component", "rep", F.when(big, F.col("component")).otherwise(-1).alias("c"), F.pmod(F.xxhash64("rep"), F.ceil(F.when(big, F.col("n_c")).otherwise(F.col("n_p")) / BLOCK).cast("long")).alias("k")
     )
-    at = met.select("*", F.explode(F.array_distinct(F.array(F.struct(F.col("xc").alias("c"), F.col("xk").alias("k")), F.struct(F.col("yc").alias("c"), F.col("yk").alias("k"))))).alias("s"))
-    at = at.select("family", "xc", "xk", "yc", "yk", "s.c", "s.k")
-    return place.join(at, ["family", "c", "k"]).select("family", "xc", "xk", "yc", "yk", "rep", "component")
+    slot = lambda s: F.struct(*[F.col(f"{s}{n}").alias(n) for n in "cwk"])
+    at = met.select("*", F.explode(F.array_distinct(F.array(slot("x"), slot("y")))).alias("s")).select(*MEETING, "s.c", "s.w", "s.k")
+    return place.join(at, ["family", "c", "w", "k"]).select(*MEETING, "rep", "component")
+
+
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands that leave a pair at the threshold unseen with a chance of ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log(1 - (min(percent, 99) / 100) ** rows))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.15) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int = ROWS, slack: float = 0.15) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; documents are linked
-    where 100 * intersection >= percent * union."""
+    where 100 * intersection >= percent * union.  By default there are as many ``bands`` as MISS asks."""
+    bands = bands_for(percent, rows) if bands is None else bands
     sketch = table(sketches(docs, width, bands, rows), "sketches")
     sets = ["n_shingles", "set_a", "set_b"]
     full = sketch.where("n_shingles > 0 and doc_id is not null")
@@ -389,11 +406,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     alike = met.mapInArrow(_by_group(["key", "i", "j"], _alike(percent / 100 - slack, percent)), "a long, b long")
     families = components(alike).select(F.col("id").alias("component"), F.col("component").alias("family"))
-    members = reps.select("rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(families, "component")
-    group = ["family", "xc", "xk", "yc", "yk"]
-    meet = _meetings(table(members.select("family", "component", "rep"), "members")).join(texts.withColumnRenamed("id", "rep"), "rep")
-    meet = meet.select(*group, "component", "z").repartition(*group).sortWithinPartitions(*group)
-    more = table(meet.mapInArrow(_by_group(group, _close(width, percent)), "a long, b long"), "links")
+    members = reps.select("rep", F.col("n_shingles").alias("n")).join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(families, "component")
+    meet = _meetings(table(members.select("family", "component", "rep", "n"), "members"), percent).join(texts.withColumnRenamed("id", "rep"), "rep")
+    meet = meet.select(*MEETING, "component", "z").repartition(*MEETING).sortWithinPartitions(*MEETING)
+    more = table(meet.mapInArrow(_by_group(MEETING, _close(width, percent)), "a long, b long"), "links")
     joined = components(more)
     found = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     single = joined.select("id", "component").join(found.select("id"), "id", "left_anti")

@@ -1,6 +1,8 @@
 """Nearest neighbours, toxicity, quality trees, mixing and near-duplicates."""
 
 import random
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -272,6 +274,62 @@ def test_near_duplicates_repeated_ids(spark):
     assert got == want
 
 
+def test_hashes_do_not_depend_on_what_a_worker_has_met():
+    """One-byte words hashed in a fresh process, and after longer words in the same one."""
+    code = (
+        "from foliant.llm.near_dup import shingle_sets, word_hashes\n"
+        "texts = ['a b c d e f g h', 'x', 'b a']\n"
+        "show = lambda: [s.tolist() for s in shingle_sets(texts, 3)] + [word_hashes(texts)[0].tolist()]\n"
+        "first = show()\n"
+        "shingle_sets(['words of any length ' + 'z' * 5000], 3)\n"
+        "assert show() == first\n"
+        "print(first)\n"
+    )
+    fresh = [subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout for _ in range(2)]
+    assert fresh[0] == fresh[1]
+    texts = ["a b c d e f g h", "x", "b a"]
+    near_dup.shingle_sets(["another history " * 50], 3)
+    assert fresh[0].strip().splitlines()[-1] == str([s.tolist() for s in near_dup.shingle_sets(texts, 3)] + [near_dup.word_hashes(texts)[0].tolist()])
+
+
+def test_near_duplicates_of_one_byte_words(spark):
+    """Against brute force; rows lie so that some partitions hold one-byte words only.  Ten times the same."""
+    rng = random.Random(10)
+    texts = {}
+    for k in range(40):
+        w = [rng.choice("abcdefghij") for _ in range(30)]
+        texts[3 * k], texts[3 * k + 1] = " ".join(w), " ".join([*w, "k"])
+        texts[3 * k + 2] = " ".join(f"{x}{x}long" for x in w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = _near_brute(texts, 3, 85)
+    for n in (1, 13):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs.repartition(n), 3, 85).collect()}
+        assert got == want
+    four = {1: "a b c d e f g h", 2: "a b c d e f g h", 3: "words that are longer than these", 4: "words that are longer than these"}
+    docs = spark.createDataFrame(list(four.items()), "doc_id long, text string").repartition(4).persist()
+    for _ in range(10):
+        assert docs.sparkSession.createDataFrame(near_dup.sketches(docs, 3, 4).select("doc_id", "set_a", "set_b").toPandas()).select("set_a", "set_b").distinct().count() == 2
+    docs.unpersist()
+
+
+def test_large_families_meet_in_windows(spark, monkeypatch):
+    """A family of several blocks, its sets of very different sizes: links between neighbouring windows stay."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    texts = {k: " ".join(base[: rng.randint(100, 400)]) for k in range(90)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, 5, 80).collect()}
+    assert got == _near_brute(texts, 5, 80)
+
+
+def test_long_texts_and_ties_of_near_duplicates(spark):
+    """A text of 200,000 words beside its near copy; one changed word of many leaves them linked."""
+    long = " ".join(f"v{k % 70_000}" for k in range(200_000))
+    docs = spark.createDataFrame([(5, long), (6, long + " end"), (7, long), (8, "short text here")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == {(5, 5), (6, 5), (7, 5), (8, 8)}
+
+
 def test_circulant_signatures_estimate_jaccard():
     rng = np.random.default_rng(8)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
