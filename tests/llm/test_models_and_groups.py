@@ -75,6 +75,36 @@ def test_permutation_index_small_and_empty(spark):
     assert permutation_index.nearest(few, few.where("false"), k=10).count() == 0
 
 
+def test_permutation_index_repeated_ids_and_wide_vectors(spark):
+    """A query that occurs twice has its neighbours once; a repeated candidate counts as often as it occurs."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 3000))
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
+    vectors = spark.createDataFrame([*rows, rows[0], rows[20], rows[7]], "vec_id long, embedding array<double>")
+    out = permutation_index.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=41).orderBy("query_id", "rank").collect()
+    for q in (0, 20):
+        got = [r.vec_id for r in out if r.query_id == q]
+        s = x @ x[q]
+        want = sorted([k for k in [*range(40), 0, 20, 7] if k != q], key=lambda k: (-s[k], k))
+        assert got == want and [r["rank"] for r in out if r.query_id == q] == list(range(1, len(want) + 1))
+
+
+def test_permutation_index_recall_on_embeddings(spark):
+    """The registered query against brute force on the given vectors."""
+    from foliant.llm.queries import QUERIES
+
+    got = defaultdict(set)
+    for r in QUERIES["op1_permutation_index"](spark, "/root/testdata/sf0.1").collect():
+        got[r.query_id].add(r.vec_id)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    recall = []
+    for q, found in got.items():
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        recall.append(len(found & set(ids[np.argsort(-s, kind="stable")[:20]].tolist())) / 20)
+    assert len(got) == 100 and np.mean(recall) >= 0.95
+
+
 def _toxic_texts(n, seed):
     rng = random.Random(seed)
     syllables = ["ba", "ro", "ti", "ne", "lu", "sa", "mo", "ker", "lin", "dus"]
