@@ -3,16 +3,21 @@
 The key of a line is the line stripped of ASCII white space with A-Z lower-cased; keys of at least
 ``least`` code points that two documents hold lose all their lines except in the smallest doc_id.
 
-1. Documents are dealt into blocks of about ``block_docs``; a block holds each of its distinct line
-   hashes (128 bits) once, so that a line found everywhere is one row a block.
-2. Hashes held by two documents or more go to shards.  Each shard is one row: a minimal perfect hash
-   over its line hashes and, at its slots, arrays of fingerprints, document counts and owners.
+1. Documents are dealt into blocks of about ``block_docs`` rows or ``block_bytes`` bytes, whichever
+   makes more; a block holds each of its distinct line hashes (128 bits) once, so that a line found
+   everywhere is one row a block.
+2. Hashes held by two documents or more go to shards of about ``shard_lines`` rows of the blocks, so
+   that there are more shards, not larger ones, where there are more lines.  Each shard is one row: a
+   minimal perfect hash over its line hashes and, at its slots, arrays of fingerprints, counts of the
+   rows that hold the line, and owners.
 3. The blocks' hashes probe the arrays of their shard; what is found returns to the block, whose
    documents drop the lines that another document owns.  Text is shuffled once, lines never.
 
 A null or empty text is one empty line.  Rows with a null doc_id keep all lines and make no line a
-copy.  Rows that repeat a doc_id count as one document and are treated alike.  An empty table gives
-an empty result.  Columns of the input named ``n_lines`` or ``n_dropped`` are replaced.
+copy; they go round the blocks.  Rows that repeat a doc_id count as one document; they are dealt by
+their texts too, so that one doc_id does not fill a block.  A text of any length is one row of one
+block.  An empty table gives an empty result.  Columns of the input named ``n_lines`` or ``n_dropped``
+are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import SPACES, documents, hex_sha, table
@@ -156,32 +161,35 @@ def _drop(least: int, n_columns: int, at_id: int, at_text: int):
     return work
 
 
-def line_shards(docs: DataFrame, least: int = 10, block_docs: int = 1000) -> tuple[DataFrame, DataFrame, int]:
-    """The blocks' distinct line hashes, the shards of lines that two documents hold, and the number of blocks."""
-    spark = docs.sparkSession
-    n_blocks = max(1, -(-docs.count() // block_docs))
-    n_shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
-    lines = docs.where("doc_id is not null").select(block, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_hashes(least), "block long, doc_id long, a long, b long")
-    held = lines.groupBy("block", "a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n_docs"))
-    held = table(held.withColumn("shard", F.pmod("a", F.lit(n_shards))), "lines")
+def line_shards(docs: DataFrame, least: int, block_docs: int, block_bytes: int, shard_lines: int) -> tuple[DataFrame, DataFrame, Column]:
+    """The blocks' distinct line hashes, the shards of lines that two documents hold, and the block of
+    a document.  Rows of ``docs`` have a doc_id."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n_blocks = max(1, -(-n // block_docs), -(-(size or 0) // block_bytes))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block")
+    lines = docs.select(block, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_hashes(least), "block long, doc_id long, a long, b long")
+    held = table(lines.groupBy("block", "a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n_docs")), "lines")
+    n_shards = max(1, -(-held.count() // shard_lines))
+    held = held.withColumn("shard", F.pmod("a", F.lit(n_shards)))
     shared = held.groupBy("shard", "a", "b").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.sum("n_docs").alias("n_docs")).where("owner < last")
     shards = shared.groupBy("shard").applyInArrow(_build, "shard long, slots array<long>, bits binary, fingerprints binary, counts binary, owners binary")
-    return held, table(shards, "line-shards"), n_blocks
+    return held, table(shards, "line-shards"), block
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, block_docs: int = 1000) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, block_docs: int = 1000, block_bytes: int = 8 << 20, shard_lines: int = 1 << 17) -> DataFrame:
     """``docs`` with the copies of shared lines taken out of ``text``, and ``n_lines``, ``n_dropped``."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
-    held, shards, n_blocks = line_shards(docs, least, block_docs)
+    every = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
+    docs = every.where("doc_id is not null")
+    held, shards, block = line_shards(docs, least, block_docs, block_bytes, shard_lines)
     hits = held.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_probe, "block long, a long, b long, owner long, n_docs long")
     names = docs.columns
     fields = [f.dataType.simpleString() for f in docs.schema]
-    block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)), F.lit(0)).alias("block")
     inner = docs.select(block, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     schema = ", ".join([*(f"c{k} {t}" for k, t in enumerate(fields)), "n_lines long, n_dropped long"])
     out = inner.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_drop(least, len(names), names.index("doc_id"), names.index("text")), schema)
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "n_lines", "n_dropped")
+    out = out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "n_lines", "n_dropped")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    return out.unionByName(every.where("doc_id is null").withColumns({"n_lines": n_lines, "n_dropped": F.lit(0).cast("long")}))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
