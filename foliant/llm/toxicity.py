@@ -9,9 +9,10 @@ highest window after that.
 As the model is linear after the mean, scoring needs one number for each n-gram bucket: tasks get
 that table (a fixed ``BUCKETS`` floats) and whole texts, and look every distinct word up once.
 
-Null and empty texts are scored by the bias alone.  Repeated rows are scored alike; a null doc_id
-is scored and not held out.  With labels of one class only, or none, every score is that class's
-share (0 without labels).  An empty table gives an empty result.
+Null and empty texts are scored by the bias alone; long ones window by window, to their end.
+Repeated rows are scored alike; a null doc_id is scored and not held out.  With labels of one class
+only, or none, every score is that class's share (0 without labels).  An empty table gives an empty
+result.  Other columns of ``docs`` are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from foliant.llm.labelled import remainder, sample
 
 BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4, 5, 6)
 WINDOW, SMOOTH = 32, 4.0
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words keep digits and signs, so that "h4te" and "a$$" share n-grams with what they stand for.
+_WORD = re.compile(r"""[^\s.,;:!?"'()\[\]{}<>/\\|]+""")
 
 
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +189,9 @@ def score_batch(texts: list[str], words: _Words) -> np.ndarray:
     return 1 / (1 + np.exp(-(top + words.model.bias)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 3000, longest: int = 6_000) -> Model:
-    """Fit on at most ``rows`` labelled documents of either class, none above ``longest`` characters."""
-    got = sample(docs, labels, label, rows).where(F.length("text") <= longest).toPandas()
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 2000) -> Model:
+    """Fit on the whole texts of at most ``rows`` labelled documents of either class."""
+    got = sample(docs, labels, label, rows).toPandas()
     return fit(got["text"].tolist(), got["label"].tolist())
 
 
