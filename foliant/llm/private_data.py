@@ -1,9 +1,11 @@
 """Personal data and secrets: fixed patterns, and weak supervision for what they do not cover.
 
 Base spans come from one pattern a kind (email, ip, card, phone) and a check of each match.  Further
-candidates are runs of letters and digits.  Labelers vote on each: patterns (hexadecimal, access-key
-shapes), a gazetteer (the word before it names a credential), context (an assignment or quote stands
-before it, or a path or number sign) and make-up (how often letters and digits alternate).  The
+candidates are runs of 12 letters and digits or more, and what stands behind a word that names a
+credential, of four characters or more.  Labelers vote on each: patterns (hexadecimal, access-key
+shapes, plain words), a gazetteer (the word before it names a credential), context (an assignment or
+quote stands before it, or a path or number sign) and make-up (how often letters and digits alternate).
+Names, addresses and other personal data of no such form are not looked for.  The
 reliability of each labeler is estimated by expectation-maximisation over the counts of the vote
 patterns, and the posteriors train a logistic classifier of spans on their own coarse features; spans
 that it accepts are of the kind ``secret``.  Candidates that overlap a base span are left out.
@@ -11,7 +13,7 @@ that it accepts are of the kind ``secret``.  Candidates that overlap a base span
 Everything on the way is DataFrame expressions; the driver sees the counts of at most 3^4 vote
 patterns and of the combinations of five coarse features.
 
-Null and empty texts have no spans.  Repeated rows are treated alike, as are rows with a null doc_id.
+Null and empty texts have no spans; long ones are searched to their end.  Repeated rows are treated alike, as are rows with a null doc_id.
 Without candidates nothing is added.  An empty table gives an empty result.  Other columns of ``docs``
 are ignored.
 """
@@ -37,6 +39,8 @@ PATTERNS = {
 CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{12,}+"
 #: Words that name a credential.
 GAZETTEER = ["password", "passwd", "passphrase", "pwd", "pin", "token", "secret", "key", "apikey", "credential", "auth", "bearer", "session", "cookie"]
+#: What is assigned to such a word, of any alphabet, or stands behind it and has a digit.
+NAMED = rf"(?i)\b(?:{'|'.join(GAZETTEER)})(?:[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?|\s(?:is\s)?[\"']?(?=[^\s\"',;0-9]*+[0-9]))([^\s\"',;]{{4,}}+)"
 LABELERS = ["pattern", "gazetteer", "context", "make_up"]
 SPAN = "struct<start:int,end:int,text:string,before:string,after:string>"
 
@@ -88,11 +92,23 @@ CHECKS = {
 def base_spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, an ``array<SPAN>`` for each base kind, and ``candidates``."""
     inner = docs.select("doc_id", text_of().cast("string").alias("text"))
-    found = _found(inner, PATTERNS | {"candidate": CANDIDATE}).drop("text")
-    kept = found.select("doc_id", *[F.filter(k, CHECKS[k]).alias(k) for k in PATTERNS], "candidate")
-    taken = F.concat(*PATTERNS)
-    free = F.filter("candidate", lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return kept.select("doc_id", *PATTERNS, F.when(F.size("candidate") > 0, free).otherwise(F.col("candidate")).alias("candidates"))
+    found = _found(inner, PATTERNS | {"candidate": CANDIDATE, "named": NAMED}).drop("text")
+    kept = found.select("doc_id", *[F.filter(k, CHECKS[k]).alias(k) for k in PATTERNS], "candidate", F.transform("named", _value).alias("named"))
+    for k, before in (("candidate", F.concat(*PATTERNS)), ("named", F.concat(*PATTERNS, "candidate"))):
+        kept = kept.withColumn(k, F.when(F.size(k) > 0, _apart(F.col(k), before)).otherwise(F.col(k)))
+    return kept.select("doc_id", *PATTERNS, F.array_sort(F.concat("candidate", "named")).alias("candidates"))
+
+
+def _value(s: Column) -> Column:
+    """The span of what a match of NAMED gives to its word: the end of the match."""
+    value = F.regexp_extract(s["text"], NAMED, 1)
+    name = F.left(s["text"], F.length(s["text"]) - F.length(value))
+    return F.struct((s["end"] - F.length(value)).alias("start"), s["end"].alias("end"), value.alias("text"), F.right(F.concat(s["before"], name), F.lit(24)).alias("before"), s["after"].alias("after"))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others."""
+    return F.filter(spans, lambda c: ~F.exists(others, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
 
 def _changes(x: Column) -> Column:
@@ -102,10 +118,10 @@ def _changes(x: Column) -> Column:
 
 def _votes(c: Column) -> list[Column]:
     """1: private, -1: not, 0: no vote; in the order of LABELERS."""
-    word = F.lower(F.regexp_extract(c["before"], r"([A-Za-z]+)[^A-Za-z]{0,4}$", 1))
+    word = F.lower(F.regexp_extract(c["before"], r"([A-Za-z]+)(?:\sis\s|[^A-Za-z]{0,4})[\"']?$", 1))
     named = reduce(lambda a, b: a | b, [F.endswith(word, F.lit(g)) for g in GAZETTEER])
-    shape = F.when(c["text"].rlike("^(?:[0-9a-f]{16,}|[A-Z]{4}[0-9A-Z]{8,})$"), 1).when(c["text"].rlike("^[0-9]+$"), -1).otherwise(0)
-    before = F.right(c["before"], F.lit(1))
+    shape = F.when(c["text"].rlike("^(?:[0-9a-f]{16,}|[A-Z]{4}[0-9A-Z]{8,})$"), 1).when(c["text"].rlike("^(?:[0-9]+|[A-Za-z]?[a-z]+)$"), -1).otherwise(0)
+    before = F.right(F.rtrim(c["before"]), F.lit(1))
     context = F.when(before.isin("=", ":", '"', "'"), 1).when(before.isin("/", "#", "-", "."), -1).otherwise(0)
     changes = _changes(c["text"])
     return [shape, F.when(named, 1).otherwise(0), context, F.when(changes >= 4, 1).when(changes <= 1, -1).otherwise(0)]
@@ -117,7 +133,7 @@ def _features(c: Column) -> list[Column]:
     digits, capitals = F.length(_digits(c["text"])), F.length(F.regexp_replace(c["text"], "[^A-Z]", ""))
     before = F.right(c["before"], F.lit(1))
     return [
-        F.least(F.lit(5), F.floor((n - 12) / 6)).cast("int"),
+        F.greatest(F.lit(-1), F.least(F.lit(5), F.floor((n - 12) / 6))).cast("int"),
         F.least(F.lit(4), F.floor(5 * digits / n)).cast("int"),
         F.least(F.lit(2), F.floor(3 * capitals / n)).cast("int"),
         F.least(F.lit(4), F.floor(_changes(c["text"]) / 2)).cast("int"),
@@ -185,7 +201,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     spans = table(base_spans(docs), "spans")
     one = spans.select(F.explode("candidates").alias("c"))
     votes = one.select(F.array(*_votes(F.col("c"))).alias("v"), F.array(*_features(F.col("c"))).alias("f"))
-    seen = votes.groupBy("v", "f").count().collect()  # at most 81 x 2,250 combinations
+    seen = votes.groupBy("v", "f").count().collect()  # at most 81 x 2,625 combinations
     if not seen:
         return spans.select("doc_id", *PATTERNS, F.filter("candidates", lambda c: F.lit(False)).alias("secret"))
     counts: dict[tuple[int, ...], int] = {}
@@ -210,4 +226,4 @@ def _names(kinds: list[str]) -> Column:
 
 def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = private_spans(documents(spark, sf_dir))
-    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], hex_sha(_names(list(PATTERNS))).alias("base_sha256"), _names([*PATTERNS, "secret"]).alias("spans"))
+    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in [*PATTERNS, "secret"]], hex_sha(_names(list(PATTERNS))).alias("base_sha256"), _names([*PATTERNS, "secret"]).alias("spans"), reduce(lambda a, b: a + b, [F.size(k) for k in [*PATTERNS, "secret"]]).cast("long").alias("n_spans"))
