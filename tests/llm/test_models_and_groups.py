@@ -130,6 +130,8 @@ def test_toxicity(spark):
     assert got[300] > 0.5 > got[301]  # a misspelling never seen; an empty text
     assert got[301] == got[302] == got[9999] and all(0 <= s <= 1 for s in got.values())
     assert toxicity.score(docs.where("false"), model).count() == 0
+    leet = toxicity.score_batch(["ba ro gr8mpfhead ti ne lu sa", "ba ro grumpfhe@d$ ti ne lu sa", "ba ro ti ne lu sa", " ".join(["ba ro ti"] * 30_000 + ["grumpfhead"])], toxicity._Words(model))
+    assert (leet[[0, 1, 3]] > leet[2]).all()  # digits and signs inside words; the end of a long text
     alone = toxicity.fit(["a", "b"], [1, 1])
     assert 1 / (1 + np.exp(-alone.bias)) > 0.99
 

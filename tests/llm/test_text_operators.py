@@ -50,6 +50,28 @@ def test_token_counts(spark):
     assert empty.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and empty.count() == 0
 
 
+def test_token_counts_of_other_tokenizers(spark):
+    """A tokenizer that keeps white space gets whole texts, and texts that differ in it are not one."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    assert token_counts.drops_space(P.path("word_bpe_49k.json")) and not token_counts.drops_space(path)
+    texts = ["two words", "two  words", " two words\n\n", "Two Words", "", "x" * 3000, *_texts(60, 3)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(_docs(spark, texts), path, scratch(spark, "cache")).collect()}
+    t = Tokenizer.from_file(path)
+    assert [got[k] for k in range(len(texts))] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_token_counts_find_earlier_texts(spark):
+    path, cache = P.path("word_bpe_49k.json"), scratch(spark, "cache")
+    token_counts.add_counts(_docs(spark, ["a text", "another"]), path, cache)
+    poisoned = spark.read.parquet(cache).withColumn("n_tokens", F.lit(77).cast("long"))
+    poisoned.write.parquet(cache + "-held")
+    docs = _docs(spark, ["a text", "A text", "new"])
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path, cache + "-held").collect()}
+    assert got[0] == 77 and got[1] == 2 and got[2] == 1  # what is held is not encoded again
+
+
 def test_sentence_pieces(spark):
     path = P.path("piece_bpe_32k.model")
     texts = _texts(500, 2)
@@ -95,7 +117,7 @@ def test_line_dedup(spark, block):
     texts |= {100: None, 101: "", 102: texts[5], 103: "the hot line of all\n" * 2}
     texts |= {k: "the hot line of all" for k in range(200, 260)}
     docs = spark.createDataFrame([(d, x, "q", "y") for d, x in texts.items()] + [(None, "A common line of text", "q", "y")], "doc_id long, text string, n_lines string, block string")
-    out = line_dedup.dedup_lines(docs.repartition(5), block_docs=block).collect()
+    out = line_dedup.dedup_lines(docs.repartition(5), block_docs=block, block_bytes=500 if block == 7 else 1 << 20, shard_lines=10 if block == 7 else 1 << 17).collect()
     want = _lines_brute(texts)
     got = {r.doc_id: (r.text or "", r.n_lines, r.n_dropped) for r in out}
     assert got.pop(None) == ("A common line of text", 1, 0)
@@ -108,6 +130,10 @@ def test_line_dedup_empty_and_repeated_rows(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], schema)).count() == 0
     twice = spark.createDataFrame([(1, "a line of some length"), (1, "a line of some length")], schema)
     assert [r.n_dropped for r in line_dedup.dedup_lines(twice).collect()] == [0, 0]
+    shared = "a line of some length"
+    rows = [(None, shared + "\n"), (None, None), (4, shared), (4, "other text of four\n" + shared), (9, shared), (9, "\n".join([shared] * 50_000 + ["long"]))]
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, (r.text or "")[:30]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert got == sorted([(None, 2, 0, shared + "\n"), (None, 1, 0, ""), (4, 1, 0, shared), (4, 2, 0, "other text of four\na line of s"), (9, 1, 1, ""), (9, 50_001, 50_000, "long")], key=repr)
 
 
 def test_perfect_hash_is_minimal():
@@ -199,6 +225,12 @@ def test_private_added_spans(spark):
     n = {r.doc_id: len(r.secret) for r in out}
     assert np.mean([n[k] == 1 for k in range(120)]) > 0.95
     assert sum(n[k] for k in range(120, 220)) == 0
+    more = texts + ['the password: "tr0ub-4dor&3", then words', "pin 48213 for it", "the key is here and the token economy", "session=abc-123-def-456-ghi"] * 12
+    for r in private_data.private_spans(_docs(spark, more)).where("doc_id >= 220").collect():
+        found = [s.text for s in r.secret]
+        if r.doc_id < len(more):
+            assert [s.start for s in r.secret] == sorted(s.start for s in r.secret) and all(more[r.doc_id][s.start : s.end] == s.text for s in r.secret)
+            assert found in ([["tr0ub-4dor&3"]] if r.doc_id % 4 == 0 else [["48213"], []] if r.doc_id % 4 == 1 else [[]] if r.doc_id % 4 == 2 else [["abc-123-def-456-ghi"]])
     one = next(r for r in out if r.doc_id == 0).secret[0]
     assert texts[0][one.start : one.end] == one.text
     assert private_data.private_spans(_docs(spark, ["no candidates"])).select(F.sum(F.size("secret"))).first()[0] == 0
