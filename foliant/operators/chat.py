@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.constants import HISTORY_HEADER, HISTORY_LIMIT, HISTORY_ROLES, LEAD_IN, TOOL_HEADER
+from foliant.functions.constants import HISTORY_HEADER, HISTORY_LIMIT, HISTORY_ROLES
 from foliant.operators.model import fill_template
 
 MESSAGE = "array<struct<role:string,content:string>>"
@@ -43,13 +43,13 @@ def _message(role: str, content: Column) -> Column:
     return F.array(F.struct(F.lit(role).alias("role"), F.coalesce(content, F.lit("")).alias("content"))).cast(MESSAGE)
 
 
-def generator_messages(rows: DataFrame, system_prompt: str) -> DataFrame:
+def generator_messages(rows: DataFrame, system_prompt: str, tool_header: str = "Fragments found:\n", lead_in: str = "Points to cover: ") -> DataFrame:
     """``messages`` for the generator: system, history, the user's words, the contexts as a tool's answer,
     and a lead-in that lists the broader questions.  ``rows``: messages (history), user_query, context,
     broadened_question."""
     history = F.coalesce("messages", F.array().cast(MESSAGE))
-    lead = F.concat(F.lit(LEAD_IN), F.array_join("broadened_question", ", "))
-    parts = [_message("system", F.lit(system_prompt)), history, _message("user", F.col("user_query")), _message("tool", F.concat(F.lit(TOOL_HEADER), F.coalesce("context", F.lit("")))), _message("assistant", lead)]
+    lead = F.concat(F.lit(lead_in), F.array_join("broadened_question", ", "))
+    parts = [_message("system", F.lit(system_prompt)), history, _message("user", F.col("user_query")), _message("tool", F.concat(F.lit(tool_header), F.coalesce("context", F.lit("")))), _message("assistant", lead)]
     return rows.withColumn("messages", F.concat(*parts))
 
 

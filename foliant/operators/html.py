@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +17,30 @@ PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>"
 #: A paragraph ends where it is closed, or where a block begins or ends.
 PARAGRAPH_END = r"(?is)^(.*?)(?:</p>|</?(?:div|h[1-6]|ul|ol|li|table|section|article|main|nav|header|footer|blockquote|body|html)(?:\s[^>]*)?>|$)"
 TAG = r"(?s)<[^>]*>"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMES = {"&" + name: text for name, text in html5.items() if name.endswith(";")}
+
+
+def _entity(e: Column) -> Column:
+    """What one entity stands for: itself if there is no such name or character."""
+    hexa = F.when(F.lower(F.substr(e, F.lit(3), F.lit(1))) == "x", F.substr(e, F.lit(4), F.length(e) - 4)).otherwise(F.hex(F.substr(e, F.lit(3), F.length(e) - 3).cast("long")))
+    code = F.conv(hexa, 16, 10).cast("long")
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    numeric = F.decode(F.unhex(F.lpad(F.when(real, hexa), 8, "0")), "UTF-32")
+    named = F.element_at(F.from_json(F.lit(json.dumps(NAMES)), "map<string,string>"), e)
+    return F.coalesce(F.when(F.startswith(e, F.lit("&#")), numeric).otherwise(named), e)
+
+
+def decoded(c: Column) -> Column:
+    """Every entity that is closed by a semicolon decoded, once."""
+    parts, found = F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
+    joined = F.array_join(F.zip_with(parts, F.transform(found, _entity), lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")) & (F.size(found) > 0), joined).otherwise(c)
 
 
 def plain(c: Column) -> Column:
-    """Text of a piece of HTML: tags out, the common entities decoded, ends stripped."""
-    return strip(reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), F.regexp_replace(c, TAG, "")))
+    """Text of a piece of HTML: tags out, entities decoded, ends stripped."""
+    return strip(decoded(F.regexp_replace(c, TAG, "")))
 
 
 def chapters_to_text(chapters: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,9 @@ from foliant.functions.constants import EPSILON
 from foliant.functions.expr import SPACE, strip, tokenize
 
 
+RANGES = 256  # of the order by which chunks without an id are numbered
+
+
 def select_indexable(chunks: DataFrame, order: str | None = None) -> DataFrame:
     """Meaningful chunks (by default) with text, stripped, with defaults for what is missing.  An id is
     made of the number of accepted chunks before, in the order of ``order``; chunks with ids need no
@@ -30,12 +33,19 @@ def select_indexable(chunks: DataFrame, order: str | None = None) -> DataFrame:
     )
     if order is None:
         return out.where("chunk_id is not null") if "chunk_id" in have else out
-    # Numbers by partition totals: the rows are counted where they lie, no task sees them all.
-    dealt = out.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    before = dealt.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_before")
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    numbered = dealt.withColumn("_n", at).join(before, "_p").withColumn("_n", F.col("_n") + F.col("_before"))
-    return numbered.withColumn("chunk_id", F.coalesce("chunk_id", F.concat(F.lit("auto_id_"), F.col("_n").cast("string")))).drop("_p", "_n", "_before")
+    # Numbers by ranges of ``order``: cuts from a bounded sample, counts of the ranges (as many as cuts)
+    # on the driver, row numbers within a range; no task sees all rows, and no two plans must agree.
+    sample = sorted(r[0] for r in out.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(16 * RANGES).collect())
+    cuts = sorted(set(sample[:: max(1, len(sample) // RANGES)]))
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    dealt = out.withColumn("_p", F.when(F.col(order).isNull(), -1).otherwise(at))
+    before, n = [], 0
+    for p, c in sorted(tuple(r) for r in dealt.groupBy("_p").count().collect()):
+        before.append((p, n))
+        n += c
+    start = F.create_map(*[F.lit(x) for pair in before for x in pair])[F.col("_p")] if before else F.lit(0)
+    numbered = dealt.withColumn("_n", start + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
+    return numbered.withColumn("chunk_id", F.coalesce("chunk_id", F.concat(F.lit("auto_id_"), F.col("_n").cast("string")))).drop("_p", "_n")
 
 
 def build_postings(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -63,6 +73,16 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def with_terms(postings: DataFrame, terms: DataFrame, n: int, share: float = 1e-3) -> DataFrame:
+    """Postings joined to ``terms`` (term, df and more, read more than once).  Terms that more than ``share``
+    of the ``n`` chunks hold are split among tasks by chunk; every other one has few rows."""
+    often = F.col("df") > F.lit(max(1.0, share * n))
+    salts = 64
+    hot = terms.where(often).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = postings.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    return postings.join(terms.where(~often), "term").unionByName(spread.join(hot, ["term", "_salt"]).drop("_salt"))
+
+
 def bm25_stats(chunks: DataFrame, postings: DataFrame, epsilon: float = EPSILON) -> Bm25Stats:
     """Three numbers over the whole corpus, in one pass over the postings; nothing else comes to the
     driver."""

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.constants import FIRST_CONTEXT, LAST_CONTEXT, MODEL_BATCH
+from foliant.functions.constants import MODEL_BATCH
 
 
 def fill_template(template: str, **fields: Column) -> Column:
@@ -23,16 +23,24 @@ def fill_template(template: str, **fields: Column) -> Column:
     return F.concat(*parts, F.lit(rest)) if parts else F.lit(template)
 
 
-def build_requests(rows: DataFrame, template: str, kind: str = "annotation") -> DataFrame:
-    """``request`` for a repair (fields text_a, text_b, text_c; the ends of a document say so) or an
-    annotation (fields chunk_id, text)."""
+def build_requests(rows: DataFrame, template: str, kind: str = "annotation", first: str = "N/A (start of the document)", last: str = "N/A (end of the document)") -> DataFrame:
+    """``request`` for a repair (fields text_a, text_b, text_c; ``first`` and ``last`` stand for what the
+    ends of a document lack) or an annotation (fields chunk_id, text)."""
     if kind == "repair":
-        fields = {"text_a": F.coalesce("text_a", F.lit(FIRST_CONTEXT)), "text_b": F.col("text"), "text_c": F.coalesce("text_c", F.lit(LAST_CONTEXT))}
+        fields = {"text_a": F.coalesce("text_a", F.lit(first)), "text_b": F.col("text"), "text_c": F.coalesce("text_c", F.lit(last))}
     else:
         fields = {"chunk_id": F.col("chunk_id"), "text": F.col("text")}
     return rows.withColumn("request", fill_template(template, **fields))
 
 
+def _answers(model: Callable[[list[str]], list], asked: list[str]) -> list:
+    """What the model says to a batch: one answer for each request, or an error."""
+    out = model(asked) if asked else []
+    if len(out) != len(asked):
+        raise ValueError(f"the model gave {len(out)} answers to {len(asked)} requests")
+    return out
+
+
 def apply_model(rows: DataFrame, model: Callable[[list[str]], list[str]], request: str = "request", response: str = "response", batch: int = MODEL_BATCH) -> DataFrame:
     """Rows with the model's answers, in batches.  Blank and null requests are not sent and answer null.
     Write the result before joining it, so that later retries do not call the model again."""
@@ -44,7 +52,7 @@ def apply_model(rows: DataFrame, model: Callable[[list[str]], list[str]], reques
                 asked = b.column("request").to_pylist()
                 live = [k for k, x in enumerate(asked) if x and x.strip()]
                 answers: list[str | None] = [None] * len(asked)
-                for k, x in zip(live, model([asked[k] for k in live]) if live else []):
+                for k, x in zip(live, _answers(model, [asked[k] for k in live]), strict=True):
                     answers[k] = x
                 yield pa.record_batch({"row": b.column("row"), "response": pa.array(answers, pa.string())})
 
@@ -63,7 +71,7 @@ def embed_texts(rows: DataFrame, model: Callable[[list[str]], list[list[float]]]
                 texts = b.column("text").to_pylist()
                 live = [k for k, x in enumerate(texts) if x is not None]
                 vectors: list[list[float] | None] = [None] * len(texts)
-                for k, v in zip(live, model([texts[k] for k in live]) if live else []):
+                for k, v in zip(live, _answers(model, [texts[k] for k in live]), strict=True):
                     vectors[k] = [float(x) for x in v]
                 yield pa.record_batch({"row": b.column("row"), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
 

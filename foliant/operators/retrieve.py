@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.constants import B, DENSE_TYPE, HYBRID_TYPE, K1, QUESTION_TYPE, RRF_K, RULE_LINE, THRESHOLD, TOP_K, UNKNOWN
+from foliant.functions.constants import B, DENSE_TYPE, FRAGMENT, HYBRID_TYPE, K1, QUESTION_TYPE, RRF_K, RULE_LINE, THRESHOLD, TOP_K, UNKNOWN
 from foliant.functions.expr import ordered_join, ranked, tokenize
+from foliant.functions.store import table
 from foliant.operators.dense import nearest_blocks
-from foliant.operators.index import Bm25Stats, term_stats
+from foliant.operators.index import Bm25Stats, term_stats, with_terms
+from foliant.operators.model import fill_template
 
 SUB = ["request_id", "sub_id"]
 REWRITE = "struct<question:string,broadened_question:array<string>,keyword:array<string>>"
@@ -67,16 +69,20 @@ def question_search(questions: DataFrame, queries: DataFrame, chunks: DataFrame,
     return ranked(best, ["request_id"], "retrieval_score", "chunk_id", top_k).withColumn("retrieval_type", F.lit(QUESTION_TYPE))
 
 
-def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit: int = 2 * TOP_K, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit: int = 2 * TOP_K, k1: float = K1, b: float = B, broadcast_terms: int = 200_000) -> DataFrame:
     """``request_id, sub_id, chunk_id, score, bm25_rank``: positive scores, the ``limit`` best of each
-    sub-query.  Queries are cut as chunks are.  Only the postings of query terms go on, and document
-    frequencies are counted for these alone; the shuffle is on (sub-query, chunk), which is even
-    however common a term is."""
-    terms = queries.select(*SUB, F.explode(tokenize("query")).alias("term")).groupBy(*SUB, "term").agg(F.count("*").alias("qtf"))
-    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    sub-query.  Queries are cut as chunks are.  The terms of up to ``broadcast_terms`` sub-query terms go
+    to the postings, which are not shuffled; more meet them by term, the terms that many chunks hold apart
+    from the rest.  The shuffle that is left is on (sub-query, chunk), which is even however common a term
+    is."""
+    terms = table(queries.select(*SUB, F.explode(tokenize("query")).alias("term")).groupBy(*SUB, "term").agg(F.count("*").alias("qtf")), "query-terms")
+    few = terms.count() <= broadcast_terms
+    sent = F.broadcast if few else lambda df: df  # counted above
+    df = term_stats(postings.join(sent(terms.select("term").distinct()), "term", "left_semi"))
+    asked = terms.join(sent(df), "term")
     weight = stats.idf(F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    weighed = asked.join(term_stats(asked), "term").select("term", "chunk_id", weight.alias("w"))
-    scores = weighed.join(terms, "term").groupBy(*SUB, "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score")).where("score > 0")
+    met = postings.join(F.broadcast(asked), "term") if few else with_terms(postings, table(asked, "query-terms"), stats.n)
+    scores = met.select(*SUB, "chunk_id", (F.col("qtf") * weight).alias("w")).groupBy(*SUB, "chunk_id").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
     return ranked(scores, SUB, "score", "chunk_id", limit, "bm25_rank")
 
 
@@ -135,16 +141,16 @@ def filter_useful(merged: DataFrame, verdicts: DataFrame) -> DataFrame:
     return merged.join(verdicts.where("verdict = 'useful'").select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_semi")
 
 
-def assemble_context(useful: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``request_id, context, chunk_ids``: numbered fragments in order, joined by a rule line; fields that
-    a chunk lacks are shown as unknown."""
+def assemble_context(useful: DataFrame, chunks: DataFrame, heading: str = FRAGMENT) -> DataFrame:
+    """``request_id, context, chunk_ids``: numbered fragments in order, each under its heading, joined by a
+    rule line; fields that a chunk lacks are shown as unknown."""
     have = set(chunks.columns)
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) if c in have else F.lit(UNKNOWN)
     facts = chunks.select("chunk_id", shown("doc_name").alias("_d"), shown("author").alias("_a"), shown("page_number").alias("_p"), F.coalesce("text", F.lit("")).alias("_t"))
     at = F.row_number().over(Window.partitionBy("request_id").orderBy("position"))
     rows = useful.select("request_id", "position", "chunk_id").withColumn("_n", at).join(facts, "chunk_id")
-    piece = F.concat(F.lit("【相关片段 "), F.col("_n").cast("string"), F.lit(" (文档: "), "_d", F.lit(", 作者: "), "_a", F.lit(", 页码: "), "_p", F.lit(", 块ID: "), "chunk_id", F.lit(")】\n"), "_t")
-    rows = rows.withColumn("_piece", piece)
+    title = fill_template(heading, n=F.col("_n"), doc_name=F.col("_d"), author=F.col("_a"), page_number=F.col("_p"), chunk_id=F.col("chunk_id"))
+    rows = rows.withColumn("_piece", F.concat(title, "_t"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("_n", "chunk_id"))), lambda x: x["chunk_id"])
     return rows.groupBy("request_id").agg(ordered_join(F.col("_n"), "_piece", RULE_LINE).alias("context"), ids.alias("chunk_ids"))
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.expr import ranked, strip
-from foliant.operators.index import Bm25Stats, term_stats
+from foliant.functions.store import table
+from foliant.operators.index import Bm25Stats, term_stats, with_terms
 
 
 def tfidf_keywords(postings: DataFrame, stats: Bm25Stats, k: int = 5) -> DataFrame:
     """``chunk_id, term, rank, weight``: the ``k`` terms of each chunk with the highest tf * idf, where
     idf is ln(n / df); ties by term."""
-    weighed = postings.join(term_stats(postings), "term").withColumn("weight", F.col("tf") * F.log(F.lit(stats.n) / F.col("df")))
+    weighed = with_terms(postings, table(term_stats(postings), "terms"), stats.n).withColumn("weight", F.col("tf") * F.log(F.lit(stats.n) / F.col("df")))
     return ranked(weighed, ["chunk_id"], "weight", "term", k).select("chunk_id", "term", "rank", "weight")
 
 

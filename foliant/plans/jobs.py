@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.constants import CHUNK_SIZE, MIN_LENGTH, OVERLAP, THRESHOLD, TOP_K
+from foliant.functions.store import table
 from foliant.operators import index, model, responses, retrieve, windows
 from foliant.operators.chunking import chunk_pages
 from foliant.operators.html import chapters_to_text
@@ -24,10 +25,11 @@ def prepare_texts(spark: SparkSession, path: str, size: int = CHUNK_SIZE, overla
 
 
 def prepare_books(spark: SparkSession, path: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = MIN_LENGTH) -> DataFrame:
-    """EPUB books of a folder to chunks.  Every chapter is a page of its title; its place in the book is
-    the order of pages, so books need not be put together first."""
+    """EPUB books of a folder to chunks.  Every chapter is a page of its title, and what follows a marker
+    sign inside it a page of its own; ``page_ord`` is the chapter's place in the book and the page's in
+    the chapter, so books need not be put together first."""
     chapters = chapters_to_text(files.read_epub(spark, path), keep=["doc_name", "item_no"])
-    pages = split_pages(chapters.drop("title")).withColumn("page_ord", F.col("item_no").cast("int")).drop("item_no")
+    pages = split_pages(chapters.drop("title")).withColumn("page_ord", F.shiftleft(F.col("item_no").cast("long"), 20) + F.col("page_ord")).drop("item_no")
     return chunk_pages(pages, size, overlap, least)
 
 
@@ -89,7 +91,8 @@ def build_index(chunks: DataFrame, embed: Embedder, path: str, limit: int | None
 
 def answer(tables: dict[str, DataFrame], requests: DataFrame, embed: Embedder, verdicts: DataFrame | None = None, top_k: int = TOP_K, threshold: float = THRESHOLD) -> dict[str, DataFrame]:
     """``requests``: request_id, question, broadened_question, keyword.  Gives merged candidates, the
-    useful ones, contexts and outcomes; without verdicts every candidate is useful."""
+    useful ones, contexts and outcomes; without verdicts every candidate is useful.  The three searches
+    run once, when this is called; what is given out reads their results."""
     postings, chunks = tables["postings"], tables["chunks"]
     stats = index.bm25_stats(chunks, postings)
     texts = model.embed_texts(retrieve.expand_queries(requests, "text"), embed, "query")
@@ -103,7 +106,8 @@ def answer(tables: dict[str, DataFrame], requests: DataFrame, embed: Embedder, v
     for name, df in paths.items():
         one = df.select("request_id", F.lit(name).alias("path"), "rank", "chunk_id", "retrieval_score", "retrieval_type")
         hits = one if hits is None else hits.unionByName(one)
-    merged = retrieve.merge_paths(hits)
+    hits = table(hits, "hits")
+    merged = table(retrieve.merge_paths(hits), "merged")
     useful = merged if verdicts is None else retrieve.filter_useful(merged, verdicts)
     return {
         "hits": hits,

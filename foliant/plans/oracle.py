@@ -11,7 +11,7 @@ def _strip(c: str) -> str:
 
 def _plain(c: str) -> str:
     out = f"regexp_replace({c}, '<[^>]*>', '', 'gs')"
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+    for a, b in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&amp;", "&")):
         out = f"replace({out}, '{a}', '{b}')"
     return _strip(out)
 
@@ -49,8 +49,8 @@ _NAME = "source || '-' || doc_id"
 _CHUNKS = f"""
 dc AS (
   SELECT doc_id, source AS doc_name, {_NAME} || '_p1_c1' AS chunk_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id AS INTEGER) END AS page_number, text,
-         list_concat(string_split(text, ' ')[1:6], [' ', lang]) AS keyword_summaries,
-         [' ' || string_split(text, ' ')[1] || '? ', CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END] AS generated_questions,
+         list_concat(string_split_regex(text, '[.!?\n]+'), [' ', lang]) AS keyword_summaries,
+         list_concat(list_transform(string_split(text, chr(10)), lambda x: ' ' || x || '? '), [CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END]) AS generated_questions,
          CASE WHEN doc_id % 5 <> 0 THEN doc_id % 11 <> 0 END AS is_meaningful
   FROM documents
 )
@@ -95,7 +95,7 @@ qv AS (
 ),
 ov AS (
   SELECT vec_id AS question_id, chunk_id, 'question ' || vec_id AS question, {_UNIT} AS v FROM (
-    SELECT vec_id, chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN names ON vec_id // 4 = doc_id WHERE vec_id % 2 = 1)
+    SELECT vec_id, chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN names ON vec_id // 4 = doc_id)
 )
 """
 
@@ -131,7 +131,7 @@ asked AS (
 )
 """
 )
-_HQ = f"hq AS (SELECT t.*, qv.v FROM ({_TEXT_Q}) t JOIN qv USING (request_id, sub_id))"
+_HQ = f"hq AS (SELECT t.*, qv.v FROM ({_TEXT_Q}) t LEFT JOIN qv USING (request_id, sub_id))"
 _FUSED = (
     _POSTINGS
     + ","
@@ -141,7 +141,7 @@ _FUSED = (
     + ","
     + _bm25("SELECT request_id, sub_id, query FROM hq", 20)
     + ","
-    + _near("hn", "cv", "chunk_id", "chunk_id", 20, "(SELECT request_id, sub_id, v FROM hq)")
+    + _near("hn", "cv", "chunk_id", "chunk_id", 20, "(SELECT request_id, sub_id, v FROM hq WHERE v IS NOT NULL)")
     + """,
 both_legs AS (
   SELECT request_id, sub_id, chunk_id, bm25_rank, CAST(rank AS INTEGER) AS embedding_rank,
@@ -216,13 +216,13 @@ _LAST4 = "last4 AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PART
 ORACLE_SQL: dict[str, str] = {
     "chapters_to_text": _WITH + _CHAPTERS + "SELECT doc_name, item_no, title, text FROM ct",
     "assemble_books": _WITH + _CHAPTERS + "SELECT * FROM books",
-    "conversion_report": _WITH + _CHAPTERS + "SELECT DISTINCT doc_name, CASE WHEN doc_name IN (SELECT doc_name FROM ct WHERE item_no % 2 = 0) THEN 'converted' ELSE 'failed' END AS status FROM ch",
+    "conversion_report": _WITH + _CHAPTERS + "SELECT DISTINCT doc_name, CASE WHEN doc_name IN (SELECT doc_name FROM ct) THEN 'converted' ELSE 'failed' END AS status FROM ch",
     "split_pages": _WITH + _CHAPTERS + "," + _PAGES + "SELECT * FROM pages_out",
     "chunk_ids": _WITH + _CHAPTERS + "," + _PAGES + r"SELECT doc_name, page_ord, doc_name || '_p' || translate(coalesce(CAST(page_number AS VARCHAR), page_label), ' /\', '___') || '_c1' AS chunk_id FROM pages_out",
     "chunk_counts": "SELECT source AS doc_name, count(*) AS n_chunks FROM documents GROUP BY ROLLUP (source)",
     "context_windows": _WITH + _CHUNKS + """
         SELECT * EXCLUDE (doc_id) FROM (
-          SELECT doc_name, doc_id, page_number, chunk_id, left(text, 40) AS text, lag(left(text, 40)) OVER w AS text_a, lead(left(text, 40)) OVER w AS text_c
+          SELECT doc_name, doc_id, page_number, chunk_id, text, lag(text) OVER w AS text_a, lead(text) OVER w AS text_c
           FROM dc WINDOW w AS (PARTITION BY doc_name ORDER BY page_number NULLS LAST, doc_id))
         WHERE text_a IS NOT NULL AND text_c IS NOT NULL""",
     "resolve_attempts": _WITH + _ATTEMPTS + "SELECT * FROM res",
@@ -252,7 +252,7 @@ ORACLE_SQL: dict[str, str] = {
         ph AS (SELECT DISTINCT phrase FROM (SELECT {_strip('p')} AS phrase FROM (SELECT unnest(keyword_summaries) AS p FROM dc)) WHERE phrase <> ''),
         pt AS (SELECT phrase, list_filter(string_split_regex(phrase, '{_SPACE}+'), lambda t: t <> '') AS t FROM ph)
         SELECT phrase, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT phrase, unnest(t) AS term, len(t) AS dl FROM pt) GROUP BY phrase, term""",
-    "question_index": _WITH + _CHUNKS + f"SELECT chunk_id, pos, question FROM (SELECT chunk_id, CAST(unnest([0, 1]) AS INTEGER) AS pos, {_strip('q')} AS question FROM (SELECT chunk_id, unnest(generated_questions) AS q, 0 AS z FROM dc)) WHERE false",
+    "question_index": _WITH + _CHUNKS + f", q AS (SELECT chunk_id, CAST(generate_subscripts(generated_questions, 1) - 1 AS INTEGER) AS pos, unnest(generated_questions) AS g FROM dc) SELECT chunk_id, pos, {_strip('g')} AS question FROM q WHERE {_strip('g')} <> ''",
     "check_index": _WITH + _CHUNKS + "," + _VECTORS + f""",
         q AS (SELECT chunk_id, generate_subscripts(generated_questions, 1) - 1 AS pos, {_strip('unnest(generated_questions)')} AS question FROM dc),
         qs AS (SELECT chunk_id, pos FROM q WHERE question <> '')
@@ -268,7 +268,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT item_id AS request_id, text AS question, CASE WHEN item_id % 3 = 0 THEN s[1:2] ELSE [] END AS broad, s[3:4] AS keyword FROM w),
         a AS (SELECT request_id, list_concat([question], broad) AS l, 'text' AS path FROM r UNION ALL SELECT request_id, list_concat(keyword, broad), 'keyword' FROM r)
         SELECT request_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS sub_id, unnest(l) AS query, path FROM a""",
-    "instruct_query": "SELECT item_id, 'Instruct: Given a question, retrieve relevant text passages that contain information to answer the question.' || chr(10) || 'Query:' || text AS query FROM benchmark",
+    "instruct_query": "SELECT item_id, 'Instruct: Find the passages that answer the question.' || chr(10) || 'Query:' || text AS query FROM benchmark",
     "dense_search": _WITH + _VECTORS + "," + _DENSE + "SELECT request_id, chunk_id, round(retrieval_score, 6) AS retrieval_score, rank, retrieval_type FROM dense",
     "question_search": _WITH + _VECTORS + "," + _QUESTION + "SELECT request_id, chunk_id, matched_question, round(retrieval_score, 6) AS retrieval_score, rank FROM asked",
     "rrf_fuse": _WITH + _FUSED + "SELECT request_id, sub_id, chunk_id, bm25_rank, embedding_rank, round(original_rrf_score, 6) AS original_rrf_score FROM fused",
@@ -293,11 +293,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, '[对话历史]' || coalesce(body, '') || chr(10) AS history FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN b USING (conv_id)""",
     "generator_messages": f"""WITH {_LAST4}, h AS (SELECT conv_id, list({{'role': role, 'content': coalesce(text, '')}} ORDER BY turn) AS l FROM last4 GROUP BY conv_id),
         m AS (SELECT conv_id, list_concat([{{'role': 'system', 'content': 'Answer from the fragments.'}}], l,
-          [{{'role': 'user', 'content': 'question ' || conv_id}}, {{'role': 'tool', 'content': '知识库检索结果：' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'context' ELSE '' END}},
-           {{'role': 'assistant', 'content': '<think>好的，我认为要回答这个问题，应该从这几个方面来回答：a, ' || conv_id}}]) AS l FROM h)
+          [{{'role': 'user', 'content': 'question ' || conv_id}}, {{'role': 'tool', 'content': 'Fragments found:' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'context' ELSE '' END}},
+           {{'role': 'assistant', 'content': 'Points to cover: a, ' || conv_id}}]) AS l FROM h)
         SELECT conv_id, CAST(pos AS INTEGER) AS pos, x.role AS role, x.content AS content FROM (SELECT conv_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS x FROM m)""",
     "judge_requests": "SELECT item_id, 'Fragment:' || chr(10) || text || chr(10) || 'Questions:' || chr(10) || 'first?' || chr(10) || 'q' || item_id AS request FROM benchmark",
+    "rewrite_requests": f"""WITH {_LAST4}, b AS (SELECT conv_id, string_agg(chr(10) || role || ': ' || coalesce(text, ''), '' ORDER BY turn) AS body FROM last4 GROUP BY conv_id)
+        SELECT conv_id, 'History: [对话历史]' || coalesce(body, '') || chr(10) || chr(10) || 'Now: and {{context}} ' || conv_id AS request FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN b USING (conv_id)""",
+    "parse_rewrites": """SELECT item_id AS request_id, text AS question, CASE WHEN item_id % 4 = 0 THEN 'wider|' || item_id ELSE '' END AS broadened,
+        CASE WHEN item_id % 4 = 0 THEN 'word' ELSE '' END AS keywords FROM benchmark WHERE item_id % 4 < 2""",
+    "first_rows": "SELECT source AS doc_name, doc_id AS page_ord, 1 AS chunk_no, text FROM documents ORDER BY source, doc_id LIMIT 100",
+    "build_requests": _WITH + _CHUNKS + """
+        SELECT chunk_id, 'A: ' || coalesce(lag(text) OVER w, 'start') || chr(10) || 'B: ' || text || chr(10) || 'C: ' || coalesce(lead(text) OVER w, 'end') AS request
+        FROM dc WINDOW w AS (PARTITION BY doc_name ORDER BY page_number NULLS LAST, doc_id)""",
+    "apply_model": f"SELECT doc_id, CASE WHEN doc_id % 10 <> 0 AND {_strip('text')} <> '' THEN sha256(text) END AS response FROM documents",
+    "embed_texts": """SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, CAST(unnest(l) AS DOUBLE) AS value
+        FROM (SELECT doc_id, [length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', ''))] AS l FROM documents WHERE text IS NOT NULL)""",
+    "lookup": _WITH + _VECTORS + "," + _DENSE + "SELECT request_id, chunk_id, rank, source AS doc_name, upper(source) AS text FROM dense JOIN names USING (chunk_id) JOIN documents USING (doc_id)",
+    "preview": _WITH + _MERGED + """
+        SELECT request_id, position, chunk_id, text, list_aggregate(list_transform(string_split(paths, ';'), lambda p: string_split(p, '=')[1]), 'string_agg', ';') AS paths
+        FROM merged JOIN names USING (chunk_id) JOIN documents USING (doc_id)""",
+    "chunk_files": _WITH + _CHUNKS + "SELECT doc_name, page_number, coalesce(CAST(page_number AS VARCHAR), doc_name) AS page_label, chunk_id, text FROM dc",
+    "index_files": _WITH + _POSTINGS + "," + _VECTORS + f""",
+        ph AS (SELECT DISTINCT phrase FROM (SELECT {_strip('p')} AS phrase FROM (SELECT unnest(keyword_summaries) AS p FROM dc)) WHERE phrase <> ''),
+        q AS (SELECT {_strip('g')} AS question FROM (SELECT unnest(generated_questions) AS g FROM dc) WHERE {_strip('g')} <> '')
+        SELECT *, 5 AS missing_before FROM (
+          SELECT 'chunks' AS name, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS total FROM dc UNION ALL SELECT 'vectors', count(*), CAST(sum(len(v)) AS BIGINT) FROM cv
+          UNION ALL SELECT 'postings', count(*), CAST(sum(tf) AS BIGINT) FROM post UNION ALL SELECT 'phrases', count(*), CAST(sum(length(phrase)) AS BIGINT) FROM ph
+          UNION ALL SELECT 'questions', count(*), CAST(sum(length(question)) AS BIGINT) FROM q)""",
+    "trial_build": _WITH + _CHUNKS + f""",
+        f AS (SELECT * FROM dc WHERE coalesce(is_meaningful, true) AND {_strip('text')} <> '' ORDER BY doc_name, chunk_id LIMIT 50),
+        t AS (SELECT chunk_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 1))) FROM f)
+        SELECT 'chunks' AS name, count(*) AS n FROM f UNION ALL SELECT 'vectors', count(*) FROM f UNION ALL SELECT 'postings', count(*) FROM t
+        UNION ALL SELECT 'phrases', count(DISTINCT phrase) FROM (SELECT {_strip('p')} AS phrase FROM (SELECT unnest(keyword_summaries) AS p FROM f)) WHERE phrase <> ''
+        UNION ALL SELECT 'questions', count(*) FROM (SELECT unnest(generated_questions) AS g FROM f) WHERE {_strip('g')} <> ''""",
 }
-ORACLE_SQL["question_index"] = (
-    _WITH + _CHUNKS + f", q AS (SELECT chunk_id, CAST(generate_subscripts(generated_questions, 1) - 1 AS INTEGER) AS pos, unnest(generated_questions) AS g FROM dc) SELECT chunk_id, pos, {_strip('g')} AS question FROM q WHERE {_strip('g')} <> ''"
-)

@@ -3,16 +3,21 @@
 ``documents`` are the corpus, one chunk a document; ``pages`` are chapters of books, a book being a URL
 host; ``embeddings`` are chunk, question and query vectors; ``benchmark`` texts are questions, ``labels``
 verdicts, ``conversations`` chats.  Model answers are made from ids by expressions: valid, fenced,
-broken or incomplete.  Arrays, maps and structs leave as strings or rows."""
+broken or incomplete.  Arrays, maps and structs leave as strings or rows.  Phrases of a chunk are the
+sentences of its text, its questions the lines."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.expr import l2_normalize
-from foliant.operators import chat, chunking, html, index, pages, responses, retrieve, rules, windows
+from foliant.functions.store import scratch, table
+from foliant.operators import chat, chunking, html, index, model, pages, responses, retrieve, rules, windows
+from foliant.plans import jobs
+from foliant.sources import files
 
 NEAR = 0.15  # few test vectors reach the default threshold of 0.5
 QV = 50  # a vec_id divisible by QV is a query vector
@@ -37,15 +42,14 @@ def _name() -> Column:
 
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk a document, with phrases and questions made from its text."""
-    words = F.slice(F.split("text", " "), 1, 6)
     return _read(spark, sf_dir, "documents").select(
         "doc_id",
         F.col("source").alias("doc_name"),
         F.concat(_name(), F.lit("_p1_c1")).alias("chunk_id"),
         F.when(F.col("doc_id") % 7 != 0, F.col("doc_id").cast("int")).alias("page_number"),
         "text",
-        F.concat(words, F.array(F.lit(" "), "lang")).alias("keyword_summaries"),
-        F.array(F.concat(F.lit(" "), F.element_at(words, 1), F.lit("? ")), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))).alias("generated_questions"),
+        F.concat(F.split("text", "[.!?\n]+", -1), F.array(F.lit(" "), "lang")).alias("keyword_summaries"),
+        F.concat(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit(" "), x, F.lit("? "))), F.array(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")))).alias("generated_questions"),
         F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 11 != 0).alias("is_meaningful"),
     )
 
@@ -80,7 +84,7 @@ def assemble_books(spark, sf_dir):
 
 
 def conversion_report(spark, sf_dir):
-    items = chapters(spark, sf_dir).withColumn("html", F.when(F.col("item_no") % 2 == 0, F.col("html")))
+    items = chapters(spark, sf_dir)
     books = html.assemble_books(html.chapters_to_text(items, keep=["doc_name", "item_no"]))
     return html.conversion_report(items, books)
 
@@ -104,7 +108,7 @@ def chunk_counts(spark, sf_dir):
 
 
 def context_windows(spark, sf_dir):
-    rows = doc_chunks(spark, sf_dir).select("doc_name", "doc_id", "page_number", "chunk_id", F.left("text", F.lit(40)).alias("text"))
+    rows = doc_chunks(spark, sf_dir).select("doc_name", "doc_id", "page_number", "chunk_id", "text")
     return windows.context_windows(rows, ["page_number", "doc_id"]).drop("doc_id")
 
 
@@ -179,8 +183,8 @@ def bm25_stats(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir):
-    """Postings stand for an index table that is read: they are kept while statistics and search use them."""
-    p = _postings(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    """Postings are written once, as an index table that statistics and search read."""
+    p = table(_postings(spark, sf_dir), "postings")
     return p, index.bm25_stats(doc_chunks(spark, sf_dir), p)
 
 
@@ -219,9 +223,7 @@ def expand_queries(spark, sf_dir):
 
 
 def instruct_query(spark, sf_dir):
-    from foliant.functions.constants import CHUNK_TASK
-
-    return _read(spark, sf_dir, "benchmark").select("item_id", retrieve.instruct_query(F.col("text"), CHUNK_TASK).alias("query"))
+    return _read(spark, sf_dir, "benchmark").select("item_id", retrieve.instruct_query(F.col("text"), "Find the passages that answer the question.").alias("query"))
 
 
 def dense_search(spark, sf_dir):
@@ -231,8 +233,7 @@ def dense_search(spark, sf_dir):
 
 def _question_vectors(spark, sf_dir):
     names = _read(spark, sf_dir, "documents").select("doc_id", F.concat(_name(), F.lit("_p1_c1")).alias("chunk_id"))
-    odd = _read(spark, sf_dir, "embeddings").where("vec_id % 2 = 1")
-    return odd.join(names, F.floor(F.col("vec_id") / 4) == F.col("doc_id")).select(F.col("vec_id").alias("question_id"), "chunk_id", F.concat(F.lit("question "), F.col("vec_id").cast("string")).alias("question"), "embedding")
+    return _read(spark, sf_dir, "embeddings").join(names, F.floor(F.col("vec_id") / 4) == F.col("doc_id")).select(F.col("vec_id").alias("question_id"), "chunk_id", F.concat(F.lit("question "), F.col("vec_id").cast("string")).alias("question"), "embedding")
 
 
 def question_search(spark, sf_dir):
@@ -241,8 +242,8 @@ def question_search(spark, sf_dir):
 
 
 def _hybrid_queries(spark, sf_dir):
-    """Benchmark texts beside query vectors of the same request and place."""
-    return _text_queries(spark, sf_dir).join(_query_vectors(spark, sf_dir), ["request_id", "sub_id"])
+    """Benchmark texts, with the query vector of the same request and place where there is one."""
+    return _text_queries(spark, sf_dir).join(_query_vectors(spark, sf_dir), ["request_id", "sub_id"], "left")
 
 
 def rrf_fuse(spark, sf_dir):
@@ -282,9 +283,9 @@ def _verdicts(spark, sf_dir, merged):
 
 
 def _merged(spark, sf_dir):
-    """Merged candidates, few rows a request, kept for the steps that use them twice."""
-    hits = _hits(spark, sf_dir)
-    return hits, retrieve.merge_paths(hits).persist(StorageLevel.MEMORY_AND_DISK)
+    """Hits and merged candidates, few rows a request, written once for the steps that use them twice."""
+    hits = table(_hits(spark, sf_dir), "hits")
+    return hits, table(retrieve.merge_paths(hits), "merged")
 
 
 def _shown(merged):
@@ -343,12 +344,106 @@ def judge_requests(spark, sf_dir):
     return chat.judge_requests(rows, "Fragment:\n{knowledge_content}\nQuestions:\n{questions}").select("item_id", "request")
 
 
+def rewrite_requests(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations")
+    rows = chat.format_history(chat.recent_history(turns, 4), turns).withColumn("question", F.concat(F.lit("and {context} "), F.col("conv_id").cast("string")))
+    return chat.rewrite_requests(rows, "History: {context}\nNow: {question}").select("conv_id", "request")
+
+
+def parse_rewrites(spark, sf_dir):
+    kind = F.col("item_id") % 4
+    whole = F.to_json(F.struct(F.col("text").alias("question"), F.array(F.lit("wider"), F.col("item_id").cast("string")).alias("broadened_question"), F.array(F.lit("word")).alias("keyword")))
+    part = F.to_json(F.struct(F.col("text").alias("question")))
+    rows = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.when(kind == 0, whole).when(kind == 1, part).when(kind == 2, "no json").otherwise('{"keyword": ["alone"]}').alias("response"))
+    out = retrieve.parse_rewrites(rows)
+    return out.select("request_id", "question", F.array_join("broadened_question", "|").alias("broadened"), F.array_join("keyword", "|").alias("keywords"))
+
+
+def first_rows(spark, sf_dir):
+    """A bounded trial run: the first 100 chunks in reading order."""
+    rows = _read(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("doc_id").alias("page_ord"), F.lit(1).alias("chunk_no"), "text")
+    return jobs.first_rows(rows, 100)
+
+
+def build_requests(spark, sf_dir):
+    rows = windows.context_windows(doc_chunks(spark, sf_dir), ["page_number", "doc_id"], middle_only=False)
+    return model.build_requests(rows, "A: {text_a}\nB: {text_b}\nC: {text_c}", "repair", "start", "end").select("chunk_id", "request")
+
+
+def _digests(texts: list[str]) -> list[str]:
+    """Stands for a model: an answer that depends on the whole request."""
+    return [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+
+
+def apply_model(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", _name().alias("chunk_id"), F.when(F.col("doc_id") % 10 != 0, F.col("text")).otherwise(" ").alias("text"))
+    asked = model.build_requests(rows, "{text}").select("doc_id", "request")
+    return model.apply_model(asked, _digests).select("doc_id", "response")
+
+
+def _counts(texts: list[str]) -> list[list[float]]:
+    """Stands for an embedding model: numbers of characters."""
+    return [[float(len(x)), float(x.count("e")), float(x.count(" "))] for x in texts]
+
+
+def embed_texts(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = model.embed_texts(rows, _counts).select("doc_id", F.posexplode("embedding").alias("pos", "value"))
+    return out.select("doc_id", "pos", F.col("value").cast("double").alias("value"))
+
+
+def lookup(spark, sf_dir):
+    """Hits of the dense search with their chunk's columns; every chunk id is there twice, the later counts."""
+    chunks = doc_chunks(spark, sf_dir).select("chunk_id", "doc_name", "text")
+    both = chunks.withColumns({"version": F.lit(2), "text": F.upper("doc_name")}).unionByName(chunks.withColumn("version", F.lit(1)))
+    return index.lookup(dense_search(spark, sf_dir).select("request_id", "chunk_id", "rank"), both, "version")
+
+
+def preview(spark, sf_dir):
+    _, merged = _merged(spark, sf_dir)
+    out = retrieve.preview(merged, doc_chunks(spark, sf_dir))
+    return out.select("request_id", "position", "chunk_id", "text", F.array_join("paths", ";").alias("paths"))
+
+
+def chunk_files(spark, sf_dir):
+    """Chunks written as JSON and read again."""
+    path = scratch(spark, "chunk-files")
+    files.write_chunks(doc_chunks(spark, sf_dir).select("doc_name", F.coalesce(F.col("page_number").cast("string"), "doc_name").alias("page_number"), "chunk_id", "text"), path)
+    return files.read_chunks(spark, path).select("doc_name", "page_number", "page_label", "chunk_id", "text")
+
+
+def index_files(spark, sf_dir):
+    """Index tables written and read again: rows and sums of each, and how many are missing before."""
+    path = scratch(spark, "index-files")
+    chunks = doc_chunks(spark, sf_dir)
+    gone = len(files.missing_tables(spark, path))
+    files.write_index({"chunks": chunks, "vectors": _vectors(spark, sf_dir), "postings": index.build_postings(chunks), "phrases": index.phrase_dictionary(chunks), "questions": index.question_index(chunks)}, path)
+    held = files.read_index(spark, path)
+    sums = {"chunks": F.length("text"), "vectors": F.size("embedding"), "postings": F.col("tf"), "phrases": F.length("phrase"), "questions": F.length("question")}
+    parts = [held[n].agg(F.count("*").alias("n"), F.sum(c.cast("long")).alias("total")).select(F.lit(n).alias("name"), "n", "total") for n, c in sums.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("missing_before", F.lit(gone))
+
+
+def trial_build(spark, sf_dir):
+    """Index tables of the first 50 indexable chunks, a bounded trial."""
+    tables = jobs.build_index(doc_chunks(spark, sf_dir), _counts, scratch(spark, "trial"), limit=50)
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
         bm25_search, chapters_to_text, assemble_books, conversion_report, split_pages, chunk_ids, chunk_pages, chunk_counts, context_windows, resolve_attempts, refine_merge,
         annotation_parse, annotate_chunks, annotation_stats, meaningful_rule, select_indexable, l2_normalize_, postings, bm25_stats, tfidf_keywords, phrase_dictionary, phrase_index,
         question_index, check_index, expand_queries, instruct_query, dense_search, question_search, rrf_fuse, minmax_scores, hybrid_search, merge_paths, filter_useful,
-        assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests,
+        assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests, rewrite_requests, parse_rewrites, first_rows,
+        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build,
     )
 }

@@ -87,10 +87,17 @@ def html_text(html: str) -> str:
     return "".join(p.parts)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_chunks(spark: SparkSession, path: str, enriched: bool = False) -> DataFrame:
-    """A JSON array of chunks.  ``page_number`` may be a number or a label there; it comes back as
-    ``page_number int`` (null for labels) and ``page_label``."""
-    rows = spark.read.schema(ENRICHED if enriched else CHUNK).option("multiLine", "true").json(path)
+    """Chunks of files that hold a JSON array each, or of what ``write_chunks`` wrote as JSON, a chunk a
+    line.  ``page_number`` may be a number or a label there; it comes back as ``page_number int`` (null
+    for labels) and ``page_label``."""
+    whole = not _exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+    rows = spark.read.schema(ENRICHED if enriched else CHUNK).option("multiLine", str(whole).lower()).json(path)
     return rows.withColumnRenamed("page_number", "page_label").withColumn("page_number", F.expr("try_cast(page_label as int)").cast(IntegerType()))
 
 
@@ -107,9 +114,7 @@ def write_index(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def missing_tables(spark: SparkSession, path: str, names: list[str] = INDEX_TABLES) -> list[str]:
-    at = [(n, spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{n}/_SUCCESS")) for n in names]
-    conf = spark._jsc.hadoopConfiguration()
-    return [n for n, p in at if not p.getFileSystem(conf).exists(p)]
+    return [n for n in names if not _exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS")]
 
 
 def read_index(spark: SparkSession, path: str, names: list[str] = INDEX_TABLES) -> dict[str, DataFrame]:

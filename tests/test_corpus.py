@@ -122,6 +122,19 @@ def test_context_windows(spark):
     assert [(r.text_a, r.text, r.text_c) for r in context_windows(df).collect()] == [("x", "y", "z")]
 
 
+def test_context_windows_of_long_documents(spark):
+    """Runs of a few rows, with pages without a number, null texts and documents of null name, against lists."""
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, k // 3]), k, 1, None if k % 9 == 0 else f"t{k}") for k in range(200)]
+    df = spark.createDataFrame(data, "doc_name string, page_number int, page_ord int, chunk_no int, text string")
+    want = set()
+    for name in ("a", "b", None):
+        rows = sorted((x for x in data if x[0] == name), key=lambda x: (x[1] is None, x[1] or 0, x[2]))
+        want |= {(x[2], rows[k - 1][4] if k else None, rows[k + 1][4] if k + 1 < len(rows) else None) for k, x in enumerate(rows)}
+    for span in (4, 1000):
+        assert {(r.page_ord, r.text_a, r.text_c) for r in context_windows(df.repartition(5), middle_only=False, span=span).collect()} == want
+
+
 def test_sources_and_jobs(spark, tmp_path):
     (tmp_path / "a b+.txt").write_text("≦1≧" + "hello world. " * 3, encoding="utf-8")
     (tmp_path / "blank.txt").write_text(" 　\n")
@@ -132,6 +145,11 @@ def test_sources_and_jobs(spark, tmp_path):
     chunks = prepare_texts(spark, str(tmp_path))
     assert [r.chunk_id for r in chunks.collect()] == ["a b+.txt_p1_c1"]
     files.write_chunks(chunks, str(tmp_path / "out"))
+    (tmp_path / "array.json").write_text('[{"doc_name": "d", "page_number": 3, "chunk_id": "x", "text": "a"}, {"doc_name": "d", "page_number": "iv", "chunk_id": "y", "text": "b"}]')
+    assert [(r.page_number, r.page_label, r.chunk_id) for r in files.read_chunks(spark, str(tmp_path / "array.json")).orderBy("chunk_id").collect()] == [(3, "3", "x"), (None, "iv", "y")]
+    many = spark.range(20).selectExpr("'d' doc_name", "cast(id as string) page_number", "cast(id as string) chunk_id", "'t' text").coalesce(1)
+    files.write_chunks(many, str(tmp_path / "many"))
+    assert files.read_chunks(spark, str(tmp_path / "many")).count() == 20
     back = files.read_chunks(spark, str(tmp_path / "out")).first()
     assert (back.chunk_id, back.page_number) == ("a b+.txt_p1_c1", 1)
 
@@ -152,6 +170,12 @@ def test_epub(spark, tmp_path):
     assert files.html_text("a&eacute;<b>c</b>") == "aéc"
 
 
+def test_entities(spark):
+    texts = ["It&#8217;s caf&eacute; &mdash; ok", "&amp;lt; &#38;lt;", "&#x1F600; &#X41;", "&nosuch; &#0; &#55555; &", "&nbsp;x&notin;y", "plain", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(html.decoded(F.col("t"))).collect()]
+    assert got == ["It’s café — ok", "&lt; &lt;", "😀 A", "&nosuch; &#0; &#55555; &", "\u00a0x∉y", "plain", None, ""]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("some text that is long enough")

@@ -1,3 +1,5 @@
+import pytest
+
 from foliant.operators import index, model, responses, rules
 from foliant.functions.expr import l2_normalize
 from foliant.plans.jobs import annotate, repair
@@ -44,6 +46,13 @@ def test_model_calls(spark):
     assert {(r.id, tuple(r.embedding) if r.embedding else None) for r in emb.collect()} == {(1, (1.0, 1.0)), (2, (1.0, 1.0)), (3, None)}
 
 
+def test_models_must_answer_every_request(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, request string").coalesce(1)
+    for call in (lambda: model.apply_model(df, lambda xs: xs[:1]), lambda: model.embed_texts(df, lambda xs: [[1.0]], "request")):
+        with pytest.raises(Exception, match="1 answers to 3 requests"):
+            call().collect()
+
+
 def test_requests(spark):
     df = spark.createDataFrame([("{text_b}", "B", None)], "text_a string, text string, text_c string")
     assert model.build_requests(df, "[{text_a}|{text_b}|{text_c}]", "repair").first().request.startswith("[{text_b}|B|N/A")
@@ -67,6 +76,14 @@ def test_select_indexable(spark):
     assert [(r.chunk_id, r.text, r.doc_name, r.page_number, r.keyword_summaries, r.generated_questions) for r in got] == [("a", "x", "unknown_doc", -1, [], []), ("auto_id_1", "y", "unknown_doc", -1, [], []), ("auto_id_2", "w", "unknown_doc", -1, ["k"], [])]
 
 
+def test_numbers_of_chunks_without_id(spark):
+    """Ids follow the order over all ranges, whatever the partitions."""
+    df = spark.range(5000).selectExpr("id * 7 as at", "case when id % 2 = 0 then concat('c', id) end as chunk_id", "'text' as text")
+    for n in (1, 7):
+        got = {r["at"]: r.chunk_id for r in index.select_indexable(df.repartition(n), "at").collect()}
+        assert got == {7 * k: f"auto_id_{k}" if k % 2 else f"c{k}" for k in range(5000)}
+
+
 def test_phrases_questions_and_checks(spark):
     df = spark.createDataFrame([("a", [" p ", "p", " ", None], ["q", " q ", ""]), ("a", ["r s"], [])], "chunk_id string, keyword_summaries array<string>, generated_questions array<string>")
     assert sorted(r.phrase for r in index.phrase_dictionary(df).collect()) == ["p", "r s"]

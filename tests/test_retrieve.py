@@ -42,6 +42,17 @@ def test_bm25_against_plain_python(spark):
     assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-8) for k in want)
 
 
+def test_bm25_of_many_queries_equals_that_of_few(spark, rows):
+    rng = random.Random(3)
+    words = ["the"] * 20 + [f"w{k}" for k in range(40)]
+    chunks = spark.createDataFrame([(f"c{k:03d}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for k in range(120)], "chunk_id string, text string")
+    postings = index.build_postings(chunks)
+    stats = index.bm25_stats(chunks, postings)
+    queries = spark.createDataFrame([(k, 0, " ".join(rng.choice(words) for _ in range(4))) for k in range(30)], "request_id int, sub_id int, query string")
+    few, many = (retrieve.bm25_search(postings, stats, queries, 5, broadcast_terms=n) for n in (200_000, 0))
+    assert len(rows(few)) > 100 and rows(few) == rows(many)
+
+
 def _vectors(spark, n, dim=6, seed=1):
     x = np.random.default_rng(seed).normal(size=(n, dim))
     return x, spark.createDataFrame([(f"c{k:03d}", [float(v) for v in row]) for k, row in enumerate(x)], "chunk_id string, embedding array<double>")
@@ -68,8 +79,10 @@ def test_dense_blocks_do_not_matter(spark, rows):
     q = v.where("id < 'c010'").select(F.col("id").alias("q"), "v")
     from foliant.functions.expr import ranked
 
-    one, many = (ranked(nearest_blocks(v, q, 4, vector_rows=a, query_rows=b), ["q"], "score", "id", 4) for a, b in ((1000, 1000), (7, 3)))
-    assert rows(one) == rows(many)
+    one, *others = (ranked(nearest_blocks(v, q, 4, vector_rows=a, query_rows=b, broadcast_bytes=c), ["q"], "score", "id", 4) for a, b, c in ((1000, 1000, 1 << 20), (7, 3, 1 << 20), (7, 3, 0), (1000, 1000, 0)))
+    assert len(rows(one)) == 40 and all(rows(one) == rows(x) for x in others)
+    plan = nearest_blocks(v, q, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # vectors stay where they are
 
 
 def test_rrf_minmax_and_ties(spark):
