@@ -95,27 +95,39 @@ def _search(k: int, rerank: float):
             files = np.full((int(max(perm.max(), _matrix(queries["pivots"]).max())) + 1, n), length, np.int16)
             files[perm, np.arange(n)[:, None]] = np.arange(length, dtype=np.int16)
             places = np.arange(length, dtype=np.int16)[:, None]
+            away = np.empty((length, n), np.int16)
+            total = np.int16 if length * length < 1 << 15 else np.int32  # holds the largest distance
             step = max(k, int(np.ceil(rerank * n)))
+            longest = float(np.sqrt((x * x).sum(1).max()))
             for q, y, own in zip(queries["vec_id"].to_pylist(), _matrix(queries["embedding"]), _matrix(queries["pivots"])):
-                away = files[own]
-                away -= places
+                np.take(files, own, axis=0, out=away, mode="clip")
+                np.subtract(away, places, out=away)
                 np.abs(away, out=away)
-                far = away.sum(0, dtype=np.int32)
+                far = away.sum(0, dtype=total)
                 order = np.argsort(far, kind="stable")
                 far = far[order]
-                best, best_s = np.zeros(0, np.int64), np.zeros(0)
+                # Products of a block in one call; what stands within its rounding of the k-th best is
+                # kept, and multiplied row by row at the end, so that equal vectors have equal scores.
+                slack = 4 * np.finfo(float).eps * len(y) * longest * float(np.sqrt((y * y).sum()))
+                found, score, least = np.zeros(0, np.int64), np.zeros(0), -np.inf
                 upto, idle = 0, 0
                 while upto < n and idle < IDLE:
                     end = int(np.searchsorted(far, far[min(n, upto + step) - 1], "right"))
                     near = order[upto:end]
                     near = near[ids[near] != q]
-                    found, score = np.concatenate([best, near]), np.concatenate([best_s, (x[near] * y).sum(1)])
-                    first = np.lexsort((ids[found], -score))[:k]
-                    idle = 0 if (first >= len(best)).any() else idle + 1
-                    best, best_s, upto = found[first], score[first], end
-                out_q += [q] * len(best)
-                out_v.append(ids[best])
-                out_s.append(best_s)
+                    product = x[near] @ y
+                    up = product >= least - slack
+                    upto, idle = end, 0 if up.any() else idle + 1
+                    found, score = np.concatenate([found, near[up]]), np.concatenate([score, product[up]])
+                    if len(found) > k:
+                        least = np.partition(score, len(score) - k)[len(score) - k]
+                        stay = score >= least - slack
+                        found, score = found[stay], score[stay]
+                score = (x[found] * y).sum(1)
+                first = np.lexsort((ids[found], -score))[:k]
+                out_q += [q] * len(first)
+                out_v.append(ids[found[first]])
+                out_s.append(score[first])
         join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": join(out_v, np.int64), "score": join(out_s, np.float64)})
 
