@@ -220,6 +220,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (the smallest id reachable) for every node of the edges (a, b), by large and
     small stars in turn until no edge changes."""
     edges = table(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
+    told = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    held = told(edges)
     while True:
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -228,10 +230,9 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lower, "v")
         small = small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(lower.select("v", F.col("m").alias("u"))).distinct()
-        after = table(small, "edges")
-        same = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first() == after.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        edges = after
-        if same:
+        edges, before = table(small, "edges"), held
+        held = told(edges)
+        if held == before:
             break
     roots = edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots)

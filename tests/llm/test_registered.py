@@ -62,7 +62,15 @@ def test_pipeline(spark):
         if name != "sentence_pieces":
             assert docs.columns == columns and docs.schema == before.schema
     texts = [{r.doc_id: r.text for r in b.collect()} for b, _ in seen]
-    assert set(texts[1]) < set(texts[0]) and set(texts[2]) == set(texts[1]) and set(texts[3]) <= set(texts[2]) and set(texts[4]) == set(texts[3])
+    assert set(texts[1]) < set(texts[0]) and set(texts[2]) <= set(texts[1]) and set(texts[3]) <= set(texts[2]) and set(texts[4]) == set(texts[3])
+    key = lambda y: y.strip(" \t\r\x0b\f").translate({c: c + 32 for c in range(65, 91)})
+    first: dict[str, int] = {}
+    for d, x in sorted(texts[1].items()):
+        for y in x.split("\n"):
+            first.setdefault(key(y), d)
+    left = lambda d: [y for y in texts[1][d].split("\n") if key(y) and (len(key(y)) < 10 or first[key(y)] == d)]
+    assert set(texts[1]) - set(texts[2]) == {d for d in texts[1] if not left(d)}  # emptied, and only these
+    assert all(x.strip() for x in texts[2].values())
     lines: dict[str, int] = {}
     for d, x in sorted(texts[2].items()):
         for y in x.split("\n"):
