@@ -374,3 +374,53 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in near_dup.components(edges).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+
+
+def test_toxicity_scores_against_plain_python():
+    """One word, window and text at a time."""
+    texts, marks = _toxic_texts(200, 5)
+    model = toxicity.fit(texts, marks, epochs=30, whole_epochs=10)
+
+    def plain(text):
+        words = toxicity._WORD.findall(text.lower())
+        tops = []
+        for at in range(0, max(1, len(words)), toxicity.WINDOW):
+            held = set(words[at : at + toxicity.WINDOW])
+            logits = [float(np.mean(model.gram[b])) if len(b := toxicity.ngrams([w])[1]) else 0.0 for w in held]
+            tops.append(sum(logits) / (len(held) + toxicity.SMOOTH))
+        return 1 / (1 + np.exp(-(max(tops) + model.bias)))
+
+    asked = [*texts[:40], "", "a", "!!! ...", "h4te a$$ ba ro " * 200]
+    assert np.allclose(toxicity.score_batch(asked, toxicity._Words(model)), [plain(x) for x in asked], atol=1e-5)
+
+
+def test_flattened_trees_equal_a_walk_node_by_node():
+    rng = np.random.default_rng(13)
+    x = rng.random((600, 4)).round(2)
+    trees = quality_trees.fit(x, (x[:, 0] + x[:, 1] > 1).astype(float), trees=25)
+
+    def walk(row):
+        total = trees.base
+        for at in trees.roots:
+            while trees.column[at] >= 0:
+                at = trees.below[at] if row[trees.column[at]] <= trees.cut[at] else trees.above[at]
+            total += trees.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    new = rng.random((200, 4)).round(2)
+    assert np.allclose(trees.score(new), [walk(r) for r in new])
+    assert len(set(trees.score(new).round(6))) > 10
+
+
+def test_statistics_of_documents_against_plain_python():
+    texts = ["Ab c! 12\n\nab c ab\nab c ab", "", "   ", "ÀÉ漢字 |#|", "word " * 3000, "same\nsame\nSAME"]
+    got = quality_trees.statistics(texts)
+    for x, row in zip(texts, got):
+        s = dict(zip(quality_trees.STATISTICS, row))
+        words, lines = x.encode().lower().split(), [y for y in x.split("\n") if y.strip()]
+        assert s["log_words"] == pytest.approx(np.log1p(len(words)))
+        assert s["distinct_words"] == pytest.approx(len(set(words)) / np.sqrt(max(1, len(words))))
+        assert s["duplicate_lines"] == pytest.approx((len(lines) - len(set(lines))) / max(1, len(lines)))
+        assert s["upper"] == pytest.approx(sum("A" <= c <= "Z" for c in x) / max(1, len(x)))
+        assert s["bang"] == pytest.approx(x.count("!") / max(1, len(x)))
+        assert s["top_word"] == pytest.approx(max([words.count(w) for w in set(words)], default=0) / max(1, len(words)))
