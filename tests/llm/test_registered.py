@@ -86,3 +86,30 @@ def test_pipeline(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(r.ids).encode()).hexdigest()
     run = entry.queries()["pipeline"](spark, DIR)
     assert sorted(map(str, run.select("doc_id", "ids_sha256").collect())) == sorted(map(str, docs.select("doc_id", "ids_sha256").collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty, blank and very long texts, repeated rows, clashing columns, an empty table."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(14)
+    prose = lambda n: " ".join(rng.choice(["the", "and", "of", "it"]) if rng.random() < 0.3 else "".join(rng.choice("aeioumnrstl") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    one, other, long = prose(120), prose(120), prose(60_000)
+    rows = [(1, None, "en", "s", None), (2, "", None, None, 0), (3, one, "en", "s", 5), (3, one, "en", "s", 5), (4, long, "de", "s", 9), (None, other, "fr", "s", 7), (5, one, "en", "s", 5), (6, " \n ", "en", "s", 3)]
+    docs = spark.createDataFrame([(*r, "k", "b") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, rate string")
+    got = {}
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, DIR)
+        if name != "sentence_pieces":
+            assert out.columns == docs.columns and out.schema == docs.schema
+        got[name] = sorted((r.doc_id for r in out.collect()), key=str)
+        if name != "near_dup":  # tested on an empty table elsewhere
+            assert stage(spark, docs.where("false"), DIR).count() == 0
+    everything = sorted((r[0] for r in rows), key=str)
+    assert not {1, 2, 6} & set(got["quality_rules"])
+    assert got["line_dedup"] == sorted([1, 2, 3, 3, 4, 6, None], key=str)  # 5 holds nothing of its own
+    assert got["near_dup"] == sorted([1, 2, 3, 3, 4, 6, None], key=str)
+    assert set(got["mixing"]) == set(everything)
+    assert got["sentence_pieces"] == everything
