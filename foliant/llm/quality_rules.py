@@ -34,6 +34,11 @@ RATIOS = {
 }
 
 
+#: Classes of characters that are counted; the others are taken out of a text once.
+SYMBOLS = "#*$%&|<>"
+CAPITALS = "A-ZÀ-ÖØ-Þ"
+
+
 def _count(text: Column, keep: str) -> Column:
     """Number of the characters that are in the class ``keep``."""
     return F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
@@ -55,17 +60,14 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "row",
         F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("lines"),
-        _count(text, r"\x20\x09-\x0D").alias("n_spaces"),
-        F.length(text).cast("long").alias("n_chars_all"),
-        _count(text, r"#*$%&|<>").alias("n_symbols"),
-        _count(text, "A-ZÀ-ÖØ-Þ").alias("n_capitals"),
-        _count(text, "!").alias("n_bangs"),
-        _count(text, "|").alias("n_bars"),
+        F.regexp_replace(text, f"[^!{SYMBOLS}{CAPITALS}]+", "").alias("told"),
     )
     size = F.size("words")
     ends = F.when(size >= 3, size - 2).otherwise(0)
     windows = F.when(ends > 0, F.transform(F.sequence(F.lit(0), ends - 1), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
-    held = cut.select("*", F.coalesce(windows, F.array().cast("array<long>")).alias("windows"))
+    counts = [F.length(F.array_join("words", "")).cast("long").alias("word_chars"), _count(F.col("told"), SYMBOLS).alias("n_symbols"), _count(F.col("told"), CAPITALS).alias("n_capitals")]
+    counts += [_count(F.col("told"), c).alias(n) for c, n in (("!", "n_bangs"), ("|", "n_bars"))]
+    held = cut.select("row", "words", "lines", *counts, F.coalesce(windows, F.array().cast("array<long>")).alias("windows"))
     held = held.select("*", (F.size("windows") > F.size(F.array_distinct("windows"))).alias("again"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"))
     sort = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     held = held.select("*", F.when(F.col("again"), sort).alias("sorted"))
@@ -74,7 +76,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return held.select(
         "row.*",
         size.cast("long").alias("n_words"),
-        (F.col("n_chars_all") - F.col("n_spaces")).alias("word_chars"),
+        "word_chars",
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("again"), F.size(places)).otherwise(0).cast("long").alias("n_repeat_words"),
