@@ -37,7 +37,7 @@ from foliant.llm.common import documents, table, text_of
 ROWS = 5  # coordinates of a band
 MISS = 1e-7  # chance that no band shows a pair at the threshold
 BLOCK = 256  # representatives of one bucket or family in one block
-SALT = 256  # partners of one representative that are verified together
+SALT = 64  # partners of one representative that are verified together
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
