@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import table
@@ -64,7 +64,7 @@ def choose_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     n = len(column)
     flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
     return flat.to_numpy(zero_copy_only=False).reshape(n, -1)
@@ -77,7 +77,7 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, length: int) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column("embedding"))
+                x = matrix(b.column("embedding"))
                 near = np.argsort(-(x @ held.value.T), axis=1, kind="stable")[:, :length].astype(np.int32)
                 yield pa.record_batch({"vec_id": b.column("vec_id"), "embedding": b.column("embedding"), "pivots": pa.array(list(near), pa.list_(pa.int32()))})
 
@@ -89,17 +89,17 @@ def _search(k: int, rerank: float):
         out_q, out_v, out_s = [], [], []
         if shard.num_rows and queries.num_rows:
             shard = shard.sort_by("vec_id")
-            ids, x, perm = shard["vec_id"].to_numpy(), _matrix(shard["embedding"]), _matrix(shard["pivots"])
+            ids, x, perm = shard["vec_id"].to_numpy(), matrix(shard["embedding"]), matrix(shard["pivots"])
             n, length = perm.shape
             # The shard's inverted files: for each pivot its place in the order of every vector.
-            files = np.full((int(max(perm.max(), _matrix(queries["pivots"]).max())) + 1, n), length, np.int16)
+            files = np.full((int(max(perm.max(), matrix(queries["pivots"]).max())) + 1, n), length, np.int16)
             files[perm, np.arange(n)[:, None]] = np.arange(length, dtype=np.int16)
             places = np.arange(length, dtype=np.int16)[:, None]
             away = np.empty((length, n), np.int16)
             total = np.int16 if length * length < 1 << 15 else np.int32  # holds the largest distance
             step = max(k, int(np.ceil(rerank * n)))
             longest = float(np.sqrt((x * x).sum(1).max()))
-            for q, y, own in zip(queries["vec_id"].to_pylist(), _matrix(queries["embedding"]), _matrix(queries["pivots"])):
+            for q, y, own in zip(queries["vec_id"].to_pylist(), matrix(queries["embedding"]), matrix(queries["pivots"])):
                 np.take(files, own, axis=0, out=away, mode="clip")
                 np.subtract(away, places, out=away)
                 np.abs(away, out=away)
@@ -152,9 +152,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 2
     left = index.select("*", shard.alias("shard"), every(n_blocks).alias("block"))
     right = asked.select("*", block.alias("block"), every(n_shards).alias("shard"))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(k, rerank), RESULT)
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k)
-    merged = found.groupBy("query_id").agg(top.alias("top")).select("query_id", F.posexplode("top").alias("at", "x"))
-    return merged.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    # The filter on the rank cuts what each task has found before the shuffle; no task gathers all shards' rows.
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
