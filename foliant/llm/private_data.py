@@ -45,27 +45,50 @@ LABELERS = ["pattern", "gazetteer", "context", "make_up"]
 SPAN = "struct<start:int,end:int,text:string,before:string,after:string>"
 
 
+BLOCK = 256  # values of a running fold that are copied together
+
+
+def running(values: Column, fold) -> Column:
+    """The running fold (an associative one: a sum, a maximum) of an array of numbers.  As an array that
+    grows by one is copied, it is made in blocks, and what stands before a block is added to all of it."""
+
+    def prefix(x: Column, first: Column) -> Column:
+        kind = "struct<last:long,all:array<long>>"
+        zero = F.struct(first.alias("last"), F.array().alias("all")).cast(kind)
+        step = lambda s, v: F.struct(fold(s["last"], v).alias("last"), F.array_append(s["all"], fold(s["last"], v)).alias("all")).cast(kind)
+        return F.aggregate(x, zero, step, lambda s: s["all"])
+
+    values, none = values.cast("array<long>"), F.lit(None).cast("long")
+    fold_, fold = fold, lambda a, b: F.when(a.isNull(), b).otherwise(fold_(a, b))
+    blocks = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(BLOCK)), lambda at: prefix(F.slice(values, at, F.lit(BLOCK)), none))
+    before = F.concat(F.array(none), prefix(F.transform(blocks, lambda b: F.element_at(b, -1)), none))
+    whole = F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(before) - 1), lambda b, t: F.transform(b, lambda x: fold(t, x))))
+    return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<long>"))
+
+
 def _found(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """For each pattern a column ``array<SPAN>`` of its leftmost non-overlapping matches: the texts
-    between the matches give the places."""
+    between the matches give the places, by a running sum of their lengths."""
     out = docs.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"_m_{k}") for k, p in patterns.items()])
     out = out.select("*", *[F.when(F.size(f"_m_{k}") > 0, F.split("text", p, -1)).alias(f"_p_{k}") for k, p in patterns.items()])
+    upto = lambda k: F.sequence(F.lit(0), F.size(f"_m_{k}") - 1)
+    gap = lambda k: lambda i: F.length(F.get(F.col(f"_p_{k}"), i)) + F.coalesce(F.length(F.get(F.col(f"_m_{k}"), i - 1)), F.lit(0))
+    # Written out one after the other, as what a lambda reads should not be computed within it.
+    out = out.select("*", *[F.when(F.size(f"_m_{k}") > 0, F.transform(upto(k), gap(k))).alias(f"_g_{k}") for k in patterns])
+    out = out.select("*", *[F.when(F.size(f"_m_{k}") > 0, running(F.col(f"_g_{k}"), lambda a, b: a + b)).alias(f"_s_{k}") for k in patterns])
 
-    def spans(k: str) -> Column:
+    def span(k: str):
         m, p = F.col(f"_m_{k}"), F.col(f"_p_{k}")
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(p, i))
-            end = start + F.length(F.get(m, i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(m, i).alias("text"), F.right(F.get(p, i), F.lit(24)).alias("before"), F.left(F.get(p, i + 1), F.lit(1)).alias("after"))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out")).cast(f"struct<at:int,out:array<{SPAN}>>")
+        def one(i: Column) -> Column:
+            start = F.get(F.col(f"_s_{k}"), i)
+            return F.struct(start.alias("start"), (start + F.length(F.get(m, i))).alias("end"), F.get(m, i).alias("text"), F.right(F.get(p, i), F.lit(24)).alias("before"), F.left(F.get(p, i + 1), F.lit(1)).alias("after"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(f"struct<at:int,out:array<{SPAN}>>")
-        none = F.array().cast(f"array<{SPAN}>")
-        return F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["out"])).otherwise(none)
+        return one
 
-    out = out.select("*", *[spans(k).alias(k) for k in patterns])
-    return out.drop(*[f"_{x}_{k}" for k in patterns for x in "mp"])
+    none = F.array().cast(f"array<{SPAN}>")
+    out = out.select("*", *[F.when(F.size(f"_m_{k}") > 0, F.transform(upto(k), span(k)).cast(f"array<{SPAN}>")).otherwise(none).alias(k) for k in patterns])
+    return out.drop(*[f"_{x}_{k}" for k in patterns for x in "mpgs"])
 
 
 def _digits(x: Column) -> Column:
@@ -94,8 +117,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     inner = docs.select("doc_id", text_of().cast("string").alias("text"))
     found = _found(inner, PATTERNS | {"candidate": CANDIDATE, "named": NAMED}).drop("text")
     kept = found.select("doc_id", *[F.filter(k, CHECKS[k]).alias(k) for k in PATTERNS], "candidate", F.transform("named", _value).alias("named"))
-    for k, before in (("candidate", F.concat(*PATTERNS)), ("named", F.concat(*PATTERNS, "candidate"))):
-        kept = kept.withColumn(k, F.when(F.size(k) > 0, _apart(F.col(k), before)).otherwise(F.col(k)))
+    for k, others in (("candidate", [*PATTERNS]), ("named", [*PATTERNS, "candidate"])):
+        kept = _apart(kept, k, others)
     return kept.select("doc_id", *PATTERNS, F.array_sort(F.concat("candidate", "named")).alias("candidates"))
 
 
@@ -106,9 +129,23 @@ def _value(s: Column) -> Column:
     return F.struct((s["end"] - F.length(value)).alias("start"), s["end"].alias("end"), value.alias("text"), F.right(F.concat(s["before"], name), F.lit(24)).alias("before"), s["after"].alias("after"))
 
 
-def _apart(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda c: ~F.exists(others, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+def _apart(df: DataFrame, spans: str, others: list[str]) -> DataFrame:
+    """``df`` without those spans of the column ``spans`` that overlap one of the ``others``.  All are put in
+    the order of their starts; a span overlaps one that starts before it if the greatest end so far
+    lies behind its start, and one that starts after it if the next start lies before its end."""
+    mark = lambda c, own: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s.alias("span")))
+    both = F.when((F.size(spans) > 0) & (F.size(F.concat(*others)) > 0), F.array_sort(F.concat(mark(F.concat(*others), 0), mark(spans, 1))))
+    df = df.withColumn("_all", both)
+    far = F.transform("_all", lambda x: F.when(x["own"] == 0, x["span"]["end"]).otherwise(-1))
+    near = F.transform(F.reverse("_all"), lambda x: F.when(x["own"] == 0, -x["start"]).otherwise(-(1 << 40)))
+    most = lambda a, b: F.greatest(a, b)
+    df = df.withColumns({"_far": far, "_near": near})
+    there = F.col("_all").isNotNull()
+    df = df.withColumns({"_end": F.when(there, running(F.col("_far"), most)), "_next": F.when(there, F.reverse(running(F.col("_near"), most)))})
+    # Zipped and not looked up by place, so that no fold is made anew for every span.
+    ends = F.zip_with("_all", "_end", lambda x, e: F.when((x["own"] == 1) & (e <= x["start"]), x["span"]))
+    kept = F.array_compact(F.zip_with(ends, "_next", lambda s, n: F.when(-n >= s["end"], s)))
+    return df.withColumn(spans, F.when(there, kept).otherwise(F.col(spans))).drop("_all", "_far", "_near", "_end", "_next")
 
 
 def _changes(x: Column) -> Column:
