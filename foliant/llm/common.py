@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,21 @@ def hex_sha(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
 
+def by_size(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 1000, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to ``rows`` rows and ``most`` bytes of text at most; a longer text comes alone."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).tolist()
+        at, held = 0, 0
+        for k, n in enumerate(size):
+            if k > at and (k - at == rows or held + n > most):
+                yield b.slice(at, k - at)
+                at, held = k, 0
+            held += n
+        yield b.slice(at)
+
+
 class Memo(dict):
     """A dict that a Python worker keeps between tasks; emptied when it would outgrow ``most`` entries."""
 

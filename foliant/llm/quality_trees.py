@@ -11,6 +11,7 @@ that class's share (0.5 without labels).  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import documents, text_of
+from foliant.llm.common import by_size, documents, text_of
 from foliant.llm.labelled import remainder, sample
 from foliant.llm.near_dup import word_hashes
 
@@ -28,30 +29,51 @@ STATISTICS = [
     "newline", "distinct_words", "repeats", "top_word", "duplicate_lines", "short_lines", "peak_bang", "peak_symbol", "peak_upper",
 ]
 _KINDS = 12
-_KIND = np.zeros(256, np.int64)  # 0: any other byte
+_KIND = np.zeros(256, np.uint8)  # 0: any other byte
 for _k, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!", "#*$%&<>=", "|", ".,;:?", "\"'()[]{}-_/\\+@~^`", " \t\r\x0b\f", "\n"), 1):
     _KIND[[ord(c) for c in _chars]] = _k
 _KIND[128:192], _KIND[192:] = 10, 11  # inner and first bytes beyond ASCII
 _PEAK = 256  # bytes of the windows whose highest shares are taken
+_SPACE = re.compile(r"[ \t-\r]")
+
+
+def _pieces(text: str, most: int = 1 << 20) -> list[str]:
+    """A long text cut at white space, as its words need many times their size in memory."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = next((m.start() for m in _SPACE.finditer(text, at + most)), len(text))
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes``, long texts in pieces."""
+    found = [word_hashes(p) for p in ([x] for x in _pieces(texts[0]))] if len(texts) == 1 else [word_hashes(texts)]
+    return np.concatenate([w for w, _ in found]), sum(n for _, n in found)
 
 
 def statistics(texts: list[str]) -> np.ndarray:
-    """One row of STATISTICS for each text."""
+    """One row of STATISTICS for each text.  Bytes are counted in windows, a kind at a time, so that two
+    bytes a byte of text are held."""
     n = len(texts)
     parts = [x.encode() for x in texts]
     size = np.fromiter(map(len, parts), np.int64, n)
-    own = np.repeat(np.arange(n), size)
     kind = _KIND[np.frombuffer(b"".join(parts), np.uint8)]
-    count = np.bincount(own * _KINDS + kind, minlength=n * _KINDS).reshape(n, _KINDS).astype(float)
-    n_win = np.maximum(1, -(-size // _PEAK))
+    # Windows of the texts that are not empty, by the place of their first byte.
+    n_win = -(-size // _PEAK)
     first = np.cumsum(n_win) - n_win
-    place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-    win = np.repeat(first, size) + place // _PEAK
-    in_win = np.bincount(win * _KINDS + kind, minlength=int(n_win.sum()) * _KINDS).reshape(-1, _KINDS)
-    length = np.bincount(win, minlength=len(in_win)) + 32.0
-    peaks = [np.maximum.reduceat(in_win[:, k] / length, first) if n else np.zeros(0) for k in (3, 4, 1)]
-
-    words, n_words = word_hashes(texts)
+    text = np.repeat(np.arange(n), n_win)
+    start = (np.cumsum(size) - size)[text] + (np.arange(len(text)) - first[text]) * _PEAK
+    in_win = np.stack([np.add.reduceat(kind == k, start, dtype=np.int64) for k in range(_KINDS)], 1) if len(start) else np.zeros((0, _KINDS), np.int64)
+    count, peaks = np.zeros((n, _KINDS)), [np.zeros(n) for _ in range(3)]
+    if some := np.flatnonzero(size).tolist():
+        count[some] = np.add.reduceat(in_win, first[some])
+        length = in_win.sum(1) + 32.0
+        for peak, k in zip(peaks, (3, 4, 1)):
+            peak[some] = np.maximum.reduceat(in_win[:, k] / length, first[some])
+
+    words, n_words = _words(texts)
     ends = np.cumsum(n_words)
     distinct, repeats, top = np.zeros(n), np.zeros(n), np.zeros(n)
     for k, (a, b) in enumerate(zip((ends - n_words).tolist(), ends.tolist())):
@@ -155,15 +177,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(np.array(column, int), np.array(cut), np.array(below, int), np.array(above, int), np.array(value), np.array(roots, int), depth if trees else 0, base)
 
 
-def document_statistics(docs: DataFrame, keep: tuple[str, ...] = (), step: int = 1000) -> DataFrame:
+def document_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns in ``keep`` and ``stats array<double>`` of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                s = statistics(b.column("text").to_pylist())
-                yield pa.record_batch({c: b.column(c) for c in ("doc_id", *keep)} | {"stats": pa.array(list(s), pa.list_(pa.float64()))})
+        for b in by_size(batches):
+            s = statistics(b.column("text").to_pylist())
+            yield pa.record_batch({c: b.column(c) for c in ("doc_id", *keep)} | {"stats": pa.array(list(s), pa.list_(pa.float64()))})
 
     inner = docs.select(F.col("doc_id").cast("long"), text_of().cast("string").alias("text"), *keep)
     kinds = "".join(f"{c} {inner.schema[c].dataType.simpleString()}, " for c in keep)
@@ -177,15 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return fit(x, got["label"].to_numpy(float))
 
 
-def score(docs: DataFrame, trees: Trees, step: int = 1000) -> DataFrame:
+def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """``doc_id, score`` of every row."""
     held = docs.sparkSession.sparkContext.broadcast(trees)  # at most 2^(depth + 1) nodes a tree
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                yield pa.record_batch({"doc_id": b.column("doc_id"), "score": pa.array(held.value.score(statistics(b.column("text").to_pylist())))})
+        for b in by_size(batches):
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "score": pa.array(held.value.score(statistics(b.column("text").to_pylist())))})
 
     return docs.select(F.col("doc_id").cast("long"), text_of().cast("string").alias("text")).mapInArrow(work, "doc_id long, score double")
 

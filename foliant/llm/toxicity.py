@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Memo, documents, text_of
+from foliant.llm.common import Memo, by_size, documents, text_of
 from foliant.llm.labelled import remainder, sample
 
 BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4, 5, 6)
@@ -195,17 +195,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return fit(got["text"].tolist(), got["label"].tolist())
 
 
-def score(docs: DataFrame, model: Model, step: int = 1000) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every row."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # BUCKETS floats, whatever the data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(held.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                yield pa.record_batch({"doc_id": b.column("doc_id"), "score": pa.array(score_batch(b.column("text").to_pylist(), words), pa.float64())})
+        for b in by_size(batches):
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "score": pa.array(score_batch(b.column("text").to_pylist(), words), pa.float64())})
 
     return docs.select(F.col("doc_id").cast("long"), text_of().cast("string").alias("text")).mapInArrow(work, "doc_id long, score double")
 

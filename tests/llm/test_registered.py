@@ -6,6 +6,7 @@ import os
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -50,7 +51,8 @@ def test_twin(spark, name):
         con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     want = con.execute(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, DIR).toPandas()[list(want.columns)]
-    show = lambda df: sorted(map(tuple, df.astype(str).values))
+    value = lambda v: "" if pd.isna(v) else str(int(v)) if isinstance(v, (float, int)) else str(v)
+    show = lambda df: sorted(tuple(map(value, r)) for r in df.astype(object).itertuples(index=False, name=None))
     assert show(got) == show(want)
 
 
