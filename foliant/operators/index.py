@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.constants import EPSILON
-from foliant.functions.expr import SPACE, strip, tokenize
+from foliant.functions.expr import SPACE, strip
+from foliant.operators.segment import WORDS, Words
 
 
 RANGES = 256  # of the order by which chunks without an id are numbered
@@ -48,10 +49,11 @@ def select_indexable(chunks: DataFrame, order: str | None = None) -> DataFrame:
     return numbered.withColumn("chunk_id", F.coalesce("chunk_id", F.concat(F.lit("auto_id_"), F.col("_n").cast("string")))).drop("_p", "_n")
 
 
-def build_postings(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
+def build_postings(chunks: DataFrame, tokens: Column | None = None, tokenizer: Words = WORDS) -> DataFrame:
     """``chunk_id, term, tf, dl``: term counts of every chunk beside the chunk's length, counted on the
-    map side first.  ``tokens`` may be any array column, for scripts without spaces."""
-    rows = chunks.select("chunk_id", (tokenize("text") if tokens is None else tokens).alias("_t"))
+    map side first.  A search must be given the same ``tokenizer``; ``tokens`` is an array column
+    that is there already."""
+    rows = tokenizer.add(chunks.select("chunk_id", "text"), "text", "_t") if tokens is None else chunks.select("chunk_id", tokens.alias("_t"))
     return rows.select("chunk_id", F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.constants import B, DENSE_TYPE, FRAGMENT, HYBRID_TYPE, K1, QUESTION_TYPE, RRF_K, RULE_LINE, THRESHOLD, TOP_K, UNKNOWN
-from foliant.functions.expr import ordered_join, ranked, tokenize
+from foliant.functions.expr import ordered_join, ranked
 from foliant.functions.store import table
 from foliant.operators.dense import nearest_blocks
 from foliant.operators.index import Bm25Stats, term_stats, with_terms
 from foliant.operators.model import fill_template
+from foliant.operators.segment import WORDS, Words
 
 SUB = ["request_id", "sub_id"]
 REWRITE = "struct<question:string,broadened_question:array<string>,keyword:array<string>>"
@@ -50,11 +51,12 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, thr
 
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
     """``request_id, sub_id, id, score, rank`` of each sub-query's nearest."""
-    asked = queries.select(F.concat_ws(":", F.col("request_id").cast("string"), F.col("sub_id").cast("string")).alias("q"), F.col("embedding").alias("v"))
+    # A sub-query's key as JSON, which gives back any request_id, whatever signs it holds.
+    asked = queries.select(F.to_json(F.struct(*SUB)).alias("q"), F.col("embedding").alias("v"))
     found = nearest_blocks(vectors.withColumn("id", F.col("id").cast("string")), asked, k, threshold)
     found = ranked(found, ["q"], "score", "id", k)
-    kinds = {f.name: f.dataType for f in queries.schema}
-    return found.select(F.split_part("q", F.lit(":"), F.lit(1)).cast(kinds["request_id"]).alias("request_id"), F.split_part("q", F.lit(":"), F.lit(2)).cast(kinds["sub_id"]).alias("sub_id"), "id", "score", "rank")
+    key = F.from_json("q", queries.select(*SUB).schema)
+    return found.select(*[key[c].alias(c) for c in SUB], "id", "score", "rank")
 
 
 def question_search(questions: DataFrame, queries: DataFrame, chunks: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, fetch: int = 5) -> DataFrame:
@@ -69,13 +71,14 @@ def question_search(questions: DataFrame, queries: DataFrame, chunks: DataFrame,
     return ranked(best, ["request_id"], "retrieval_score", "chunk_id", top_k).withColumn("retrieval_type", F.lit(QUESTION_TYPE))
 
 
-def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit: int = 2 * TOP_K, k1: float = K1, b: float = B, broadcast_terms: int = 200_000) -> DataFrame:
+def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit: int = 2 * TOP_K, k1: float = K1, b: float = B, broadcast_terms: int = 200_000, tokenizer: Words = WORDS) -> DataFrame:
     """``request_id, sub_id, chunk_id, score, bm25_rank``: positive scores, the ``limit`` best of each
-    sub-query.  Queries are cut as chunks are.  The terms of up to ``broadcast_terms`` sub-query terms go
+    sub-query.  Queries are cut by the ``tokenizer`` that cut the chunks.  The terms of up to ``broadcast_terms`` sub-query terms go
     to the postings, which are not shuffled; more meet them by term, the terms that many chunks hold apart
     from the rest.  The shuffle that is left is on (sub-query, chunk), which is even however common a term
     is."""
-    terms = table(queries.select(*SUB, F.explode(tokenize("query")).alias("term")).groupBy(*SUB, "term").agg(F.count("*").alias("qtf")), "query-terms")
+    cut = tokenizer.add(queries.select(*SUB, "query"), "query", "_t")
+    terms = table(cut.select(*SUB, F.explode("_t").alias("term")).groupBy(*SUB, "term").agg(F.count("*").alias("qtf")), "query-terms")
     few = terms.count() <= broadcast_terms
     sent = F.broadcast if few else lambda df: df  # counted above
     df = term_stats(postings.join(sent(terms.select("term").distinct()), "term", "left_semi"))
@@ -104,10 +107,10 @@ def minmax_scores(fused: DataFrame, score: str = "original_rrf_score") -> DataFr
     return fused.withColumn("retrieval_score", F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low)))
 
 
-def hybrid_search(postings: DataFrame, stats: Bm25Stats, vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
+def hybrid_search(postings: DataFrame, stats: Bm25Stats, vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, tokenizer: Words = WORDS) -> DataFrame:
     """Keyword path: BM25 and dense ranks (2 * top_k each) fused, normalised and cut to ``top_k``.
     ``queries``: request_id, sub_id, query, embedding."""
-    words = bm25_search(postings, stats, queries, 2 * top_k)
+    words = bm25_search(postings, stats, queries, 2 * top_k, tokenizer=tokenizer)
     near = _nearest(vectors.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), queries, 2 * top_k, threshold)
     near = near.select(*SUB, F.col("id").alias("chunk_id"), F.col("rank").alias("embedding_rank"))
     fused = minmax_scores(rrf_fuse(words, near))

@@ -13,6 +13,7 @@ from foliant.operators import index, model, responses, retrieve, windows
 from foliant.operators.chunking import chunk_pages
 from foliant.operators.html import chapters_to_text
 from foliant.operators.pages import split_pages
+from foliant.operators.segment import WORDS, Words
 from foliant.sources import files
 
 Model = Callable[[list[str]], list[str]]
@@ -75,21 +76,23 @@ def annotate(chunks: DataFrame, call: Model, template: str, path: str, attempts:
     return responses.annotate_chunks(chunks.withColumn("_key", F.struct(*key)), first, "_key").drop("_key")
 
 
-def build_index(chunks: DataFrame, embed: Embedder, path: str, limit: int | None = None) -> dict[str, DataFrame]:
-    """Index tables under ``path``, read back; ``limit`` makes a bounded trial build."""
+def build_index(chunks: DataFrame, embed: Embedder, path: str, limit: int | None = None, tokenizer: Words = WORDS) -> dict[str, DataFrame]:
+    """Index tables under ``path``, read back; ``limit`` makes a bounded trial build.  Chunks are written
+    first, and the other tables made of what was written; ``answer`` needs the same ``tokenizer``."""
     spark = chunks.sparkSession
     rows = index.select_indexable(chunks)
     if limit is not None:
         rows = rows.orderBy("doc_name", "chunk_id").limit(limit)
+    files.write_index({"chunks": rows}, path)
+    rows = spark.read.parquet(f"{path}/chunks")
     vectors = model.embed_texts(rows.select("chunk_id", "text"), embed).select("chunk_id", "embedding")
     questions = model.embed_texts(index.question_index(rows), embed, "question", 1024).withColumn("question_id", F.concat_ws("#", "chunk_id", F.col("pos").cast("string")))
     phrases = model.embed_texts(index.phrase_dictionary(rows), embed, "phrase", 2048)
-    files.write_index({"chunks": rows}, path)
-    files.write_index({"vectors": vectors, "postings": index.build_postings(spark.read.parquet(f"{path}/chunks")), "questions": questions, "phrases": phrases}, path)
+    files.write_index({"vectors": vectors, "postings": index.build_postings(rows, tokenizer=tokenizer), "questions": questions, "phrases": phrases}, path)
     return files.read_index(spark, path)
 
 
-def answer(tables: dict[str, DataFrame], requests: DataFrame, embed: Embedder, verdicts: DataFrame | None = None, top_k: int = TOP_K, threshold: float = THRESHOLD) -> dict[str, DataFrame]:
+def answer(tables: dict[str, DataFrame], requests: DataFrame, embed: Embedder, verdicts: DataFrame | None = None, top_k: int = TOP_K, threshold: float = THRESHOLD, tokenizer: Words = WORDS) -> dict[str, DataFrame]:
     """``requests``: request_id, question, broadened_question, keyword.  Gives merged candidates, the
     useful ones, contexts and outcomes; without verdicts every candidate is useful.  The three searches
     run once, when this is called; what is given out reads their results."""
@@ -99,7 +102,7 @@ def answer(tables: dict[str, DataFrame], requests: DataFrame, embed: Embedder, v
     words = model.embed_texts(retrieve.expand_queries(requests, "keyword"), embed, "query")
     paths = {
         "text": retrieve.dense_search(tables["vectors"], texts, top_k, threshold),
-        "keyword": retrieve.hybrid_search(postings, stats, tables["vectors"], words, top_k, threshold),
+        "keyword": retrieve.hybrid_search(postings, stats, tables["vectors"], words, top_k, threshold, tokenizer),
         "question": retrieve.question_search(tables["questions"], texts, chunks, top_k, threshold),
     }
     hits = None

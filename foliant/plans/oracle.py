@@ -326,4 +326,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'chunks' AS name, count(*) AS n FROM f UNION ALL SELECT 'vectors', count(*) FROM f UNION ALL SELECT 'postings', count(*) FROM t
         UNION ALL SELECT 'phrases', count(DISTINCT phrase) FROM (SELECT {_strip('p')} AS phrase FROM (SELECT unnest(keyword_summaries) AS p FROM f)) WHERE phrase <> ''
         UNION ALL SELECT 'questions', count(*) FROM (SELECT unnest(generated_questions) AS g FROM f) WHERE {_strip('g')} <> ''""",
+    "learn_lexicon": """WITH runs AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS r FROM documents),
+        c AS (SELECT word, count(*) AS n FROM (SELECT substr(r, CAST(i AS BIGINT), CAST(k AS BIGINT)) AS word FROM runs, (VALUES (1), (2), (3)) t(k), generate_series(1, length(r)) g(i) WHERE i + k - 1 <= length(r)) GROUP BY word),
+        big AS (SELECT * FROM c WHERE length(word) = 1 OR n >= 20), total AS (SELECT sum(n) AS t FROM c WHERE length(word) = 1),
+        cuts AS (SELECT word, n, substr(word, 1, k) AS a, substr(word, k + 1) AS b FROM big, (VALUES (1), (2)) t(k) WHERE k < length(word))
+        SELECT word, n FROM big WHERE length(word) = 1
+        UNION ALL SELECT cuts.word, cuts.n FROM cuts JOIN big x ON x.word = a JOIN big y ON y.word = b CROSS JOIN total GROUP BY cuts.word, cuts.n
+        HAVING round(min(ln(cuts.n * CAST(t AS DOUBLE) / (x.n * CAST(y.n AS DOUBLE)))), 9) >= 0.5""",
+    "segment_words": """WITH RECURSIVE lex AS (
+          SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) BETWEEN 2 AND 12 GROUP BY word HAVING count(*) >= 2),
+        total AS (SELECT ln(sum(n)) AS t FROM lex),
+        bits AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(text), '[^a-z.,;:!?\n]', '', 'g'), '[a-z]+') AS rs FROM benchmark),
+        placed AS (SELECT item_id, unnest(rs) AS r, generate_subscripts(rs, 1) AS run_no FROM bits),
+        runs AS (SELECT DISTINCT r FROM placed),
+        parts AS (SELECT r, CAST(i AS BIGINT) AS i, CAST(k AS BIGINT) AS k, substr(r, CAST(i AS BIGINT) + 1, CAST(k AS BIGINT)) AS w FROM runs, generate_series(0, length(r) - 1) g(i), generate_series(1, 12) h(k) WHERE i + k <= length(r)),
+        edges AS (SELECT r, i, k, CASE WHEN k = 1 THEN t ELSE t - ln(n) END AS c FROM parts CROSS JOIN total LEFT JOIN lex ON word = w WHERE k = 1 OR n IS NOT NULL),
+        best AS (
+          SELECT r, CAST(length(r) AS BIGINT) AS i, [0.0::DOUBLE] AS cost, []::BIGINT[] AS step FROM runs
+          UNION ALL
+          SELECT r, i - 1, list_prepend(x.c, cost), list_prepend(x.k, step) FROM (
+            SELECT b.r, b.i, b.cost, b.step, (SELECT struct_pack(c := min(e.c + b.cost[e.k]), k := arg_max(e.k, (-round(e.c + b.cost[e.k], 9), e.k))) FROM edges e WHERE e.r = b.r AND e.i = b.i - 1) AS x
+            FROM best b WHERE b.i > 0)),
+        walk AS (
+          SELECT r, step, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS word_no FROM best WHERE i = 0
+          UNION ALL SELECT r, step, p + step[p + 1], word_no + 1 FROM walk WHERE p < length(r)),
+        words AS (SELECT r, word_no, substr(r, p + 1, step[p + 1]) AS word FROM walk WHERE p < length(r))
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY run_no, word_no) - 1 AS INTEGER) AS pos, word FROM placed JOIN words USING (r)""",
 }

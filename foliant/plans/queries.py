@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.expr import l2_normalize
 from foliant.functions.store import scratch, table
-from foliant.operators import chat, chunking, html, index, model, pages, responses, retrieve, rules, windows
+from foliant.operators import chat, chunking, html, index, model, pages, responses, retrieve, rules, segment, windows
 from foliant.plans import jobs
 from foliant.sources import files
 
@@ -437,6 +437,25 @@ def trial_build(spark, sf_dir):
     return out
 
 
+def learn_lexicon(spark, sf_dir):
+    """Letter groups of the documents that stand together, as they would be learned for a script without spaces."""
+    docs = _read(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
+    return segment.learn_lexicon(docs, script="a-z", longest=3, least=20, cohesion=0.5)
+
+
+def _lexicon(spark, sf_dir):
+    """Words of the documents, of two to twelve letters, with their numbers."""
+    words = _read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return words.where(F.length("word").between(2, 12)).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "word").limit(200_000)
+
+
+def segment_words(spark, sf_dir):
+    """Benchmark texts without their spaces, cut again into words that the documents use."""
+    cutter = segment.Segmenter.read(_lexicon(spark, sf_dir), least=1, script="a-z")
+    rows = _read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), r"[^a-z.,;:!?\n]", "").alias("text"))
+    return cutter.add(rows).select("item_id", F.posexplode("tokens").alias("pos", "word"))
+
+
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
@@ -444,6 +463,6 @@ QUERIES = {
         annotation_parse, annotate_chunks, annotation_stats, meaningful_rule, select_indexable, l2_normalize_, postings, bm25_stats, tfidf_keywords, phrase_dictionary, phrase_index,
         question_index, check_index, expand_queries, instruct_query, dense_search, question_search, rrf_fuse, minmax_scores, hybrid_search, merge_paths, filter_useful,
         assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests, rewrite_requests, parse_rewrites, first_rows,
-        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build,
+        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words,
     )
 }
