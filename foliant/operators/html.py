@@ -2,63 +2,43 @@
 
 from __future__ import annotations
 
-import json
-from functools import reduce
-from html.entities import html5
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.constants import MARK_CLOSE, MARK_OPEN
-from foliant.functions.expr import ordered_join, strip
+from foliant.functions.expr import ordered_join
+from foliant.operators.markup import read_chapter
 
-HIDDEN = [r"(?is)<!--.*?-->", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>"]
-PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>"
-#: A paragraph ends where it is closed, or where a block begins or ends.
-PARAGRAPH_END = r"(?is)^(.*?)(?:</p>|</?(?:div|h[1-6]|ul|ol|li|table|section|article|main|nav|header|footer|blockquote|body|html)(?:\s[^>]*)?>|$)"
-TAG = r"(?s)<[^>]*>"
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-NAMES = {"&" + name: text for name, text in html5.items() if name.endswith(";")}
 
+def read_chapters(chapters: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (by default all) with ``title`` and ``lines``: the text of the first heading of the highest level there
+    is (null without headings or HTML), and that of every paragraph outside of it, both stripped.  Elements are closed as HTML has it:
+    an unclosed paragraph ends where the next paragraph or block begins or the element around it ends."""
+    names = [c for c in chapters.columns if c not in ("title", "lines")] if keep is None else keep
 
-def _entity(e: Column) -> Column:
-    """What one entity stands for: itself if there is no such name or character."""
-    hexa = F.when(F.lower(F.substr(e, F.lit(3), F.lit(1))) == "x", F.substr(e, F.lit(4), F.length(e) - 4)).otherwise(F.hex(F.substr(e, F.lit(3), F.length(e) - 3).cast("long")))
-    code = F.conv(hexa, 16, 10).cast("long")
-    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    numeric = F.decode(F.unhex(F.lpad(F.when(real, hexa), 8, "0")), "UTF-32")
-    named = F.element_at(F.from_json(F.lit(json.dumps(NAMES)), "map<string,string>"), e)
-    return F.coalesce(F.when(F.startswith(e, F.lit("&#")), numeric).otherwise(named), e)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                found = [(None, None) if x is None else read_chapter(x) for x in b.column("html").to_pylist()]
+                yield pa.record_batch({"row": b.column("row"), "title": pa.array([t for t, _ in found], pa.string()), "lines": pa.array([x for _, x in found], pa.list_(pa.string()))})
 
-
-def decoded(c: Column) -> Column:
-    """Every entity that is closed by a semicolon decoded, once."""
-    parts, found = F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
-    joined = F.array_join(F.zip_with(parts, F.transform(found, _entity), lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
-    return F.when(F.contains(c, F.lit("&")) & (F.size(found) > 0), joined).otherwise(c)
-
-
-def plain(c: Column) -> Column:
-    """Text of a piece of HTML: tags out, entities decoded, ends stripped."""
-    return strip(decoded(F.regexp_replace(c, TAG, "")))
+    packed = chapters.select(F.struct(F.lit(0).alias("_"), *names).alias("row"), F.col(html).cast("string").alias("html"))
+    out = packed.mapInArrow(work, f"row {packed.schema['row'].dataType.simpleString()}, title string, lines array<string>")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "title", "lines")
 
 
 def chapters_to_text(chapters: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """Rows with a title, with ``title`` and ``text``: the marked title, a blank line and the stripped
-    text of every paragraph on a line of its own.  The title is the first heading of the highest level
-    there is; chapters whose title is missing or blank are dropped.  A paragraph ends at its closing
-    tag or at the next paragraph or block, so that unclosed paragraphs are not repeated.  Null HTML
-    counts as missing."""
-    body = reduce(lambda x, p: F.regexp_replace(x, p, " "), HIDDEN, F.col(html))
-    pattern = [rf"(?is)<h{k}(?:\s[^>]*)?>(.*?)</h{k}>" for k in range(1, 7)]
-    found = chapters.withColumn("_body", body)
-    title = F.coalesce(*[F.when(F.col("_body").rlike(p), plain(F.regexp_extract("_body", p, 1))) for p in pattern])
-    pieces = F.slice(F.split("_body", PARAGRAPH, -1), 2, 1 << 30)
-    lines = F.transform(pieces, lambda x: F.concat(plain(F.regexp_extract(x, PARAGRAPH_END, 1)), F.lit("\n")))
-    out = found.withColumn("title", title).where("title <> ''").withColumn("_lines", lines)
-    text = F.concat(F.lit(MARK_OPEN), "title", F.lit(MARK_CLOSE + "\n\n"), F.array_join("_lines", ""))
+    """Rows with a title, with ``title`` and ``text``: the marked title, a blank line and every paragraph
+    on a line of its own.  Chapters whose title is missing or blank are dropped; null HTML counts as
+    missing."""
     names = [c for c in chapters.columns if c not in ("title", "text")] if keep is None else keep
-    return out.select(*names, "title", text.alias("text"))
+    out = read_chapters(chapters, html, names).where("title <> ''")
+    lines = F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), "")
+    return out.select(*names, "title", F.concat(F.lit(MARK_OPEN), "title", F.lit(MARK_CLOSE + "\n\n"), lines).alias("text"))
 
 
 def assemble_books(chapters: DataFrame) -> DataFrame:

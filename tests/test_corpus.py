@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from foliant.functions.constants import UNNAMED_PAGE
-from foliant.operators import html, pages
+from foliant.operators import html, markup, pages
 from foliant.operators.chunking import chunk_counts, chunk_pages, split_text
 from foliant.operators.windows import context_windows
 from foliant.plans.jobs import prepare_books, prepare_texts
@@ -170,10 +170,41 @@ def test_epub(spark, tmp_path):
     assert files.html_text("a&eacute;<b>c</b>") == "aéc"
 
 
-def test_entities(spark):
-    texts = ["It&#8217;s caf&eacute; &mdash; ok", "&amp;lt; &#38;lt;", "&#x1F600; &#X41;", "&nosuch; &#0; &#55555; &", "&nbsp;x&notin;y", "plain", None, ""]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(html.decoded(F.col("t"))).collect()]
-    assert got == ["It’s café — ok", "&lt; &lt;", "😀 A", "&nosuch; &#0; &#55555; &", "\u00a0x∉y", "plain", None, ""]
+def test_references():
+    """Character references as browsers read them: without a semicolon, of the table for 128 to 159, of no character."""
+    cases = {
+        "It&#8217;s caf&eacute; &mdash; ok": "It’s café — ok", "&amp;lt; &#38;lt;": "&lt; &lt;", "&#x1F600; &#X41;": "😀 A", "&nosuch; &": "&nosuch; &", "x&notin;y": "x∉y", "plain": "plain",
+        "a &amp b &copy 2020 &lt3": "a & b © 2020 <3", "&#150;&#x80;&#151 x&#146;s": "–€— x’s", "&#0;&#55555;&#x110000;": "\ufffd\ufffd\ufffd", "&notit; &ampx": "¬it; &x", "&#65&#66": "AB",
+    }
+    for text, want in cases.items():
+        assert markup.read_chapter(f"<h1>t</h1><p>{text}</p>") == ("t", [want])
+
+
+def test_open_elements():
+    """A fixture made by hand: end tags that are missing, misplaced or match nothing."""
+    cases = [
+        ("<h1>T</h1><p>a<p>b<b>c<p>d</b>e", "T", ["a", "bc", "de"]),
+        ("<h1>T</h1><div><p>a<div>out<p>b</div>out<p>c</div>", "T", ["a", "b", "c"]),
+        ("<h1>T</h1><ul><li><p>one<li>two<p>three<ul><li>in<p>four</ul>out</ul>out", "T", ["one", "three", "four"]),
+        ("<h1>T</h1><table><tr><td><p>a<td>b<p>c<tr><td>d</table>out<p>e", "T", ["a", "c", "e"]),
+        ("<h1>T</h1><p>a<button>x<p>inner</button>b</p>out", "T", ["axb", "inner"]),
+        ("<h1>T</h1><p>a</div>b</p></p>out", "T", ["ab"]),
+        ("<h1>T</h1><p>a<span>b</p>out</span>out<p>c", "T", ["ab", "c"]),
+        ("<h2>No</h2><h1>A<em>b</em> c<h1>Second</h1><p>x", "Ab c", ["x"]),
+        ("<h1>A</h3>out<p>x", "A", ["x"]),
+        ("<h1>A<p>inside</p>b</h1><h2>B<p>stays</h2><p>x", "Ainsideb", ["stays", "x"]),
+        ("<p>a<script>if (a<b) '<p>no</p>'</script>b<style>p{}</style>c<!-- <p>no -->d<h1>T</h1>", "T", ["abcd"]),
+        ("<html><head><title><p>no</title></head><body><h1>T</h1><P CLASS='a>b'>x<br/>y<img alt='<p>'>z</P>", "T", ["xyz"]),
+        ("<dl><dt><p>a<dd><p>b<dt>c</dl><h3>T</h3><p>d<hr>out", "T", ["a", "b", "d"]),
+        ("<h1> </h1><h2>T</h2><p>x", "", ["x"]),
+        ("no heading<p>x", None, ["x"]),
+        ("", None, []),
+        ("<p>\u3000 y \xa0</p><h6>\u3000T </h6><p></p><p/><p>unfinished &am", "T", ["y", "", "", "unfinished &am"]),
+    ]
+    for html_, title, lines in cases:
+        assert markup.read_chapter(html_) == (title, lines), html_
+    deep = "<div>" * 50_000 + "<p>x" + "</div>" * 50_000 + "<h1>T"
+    assert markup.read_chapter(deep) == ("T", ["x"])
 
 
 def test_stream(spark, tmp_path):
