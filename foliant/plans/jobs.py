@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.constants import CHUNK_SIZE, MIN_LENGTH, OVERLAP, THRESHOLD, TOP_K
 from foliant.functions.store import table
-from foliant.operators import index, model, responses, retrieve, windows
+from foliant.operators import answers, index, model, responses, retrieve, windows
 from foliant.operators.chunking import chunk_pages
 from foliant.operators.html import chapters_to_text
 from foliant.operators.pages import split_pages
@@ -35,13 +35,12 @@ def prepare_books(spark: SparkSession, path: str, size: int = CHUNK_SIZE, overla
 
 
 def _attempts(rows: DataFrame, call: Model, parse, open_: str, most: int, path: str, key: list[str]) -> DataFrame:
-    """Calls until nothing is open or the attempts are used up; each round is written before the next
-    looks at it, so that no answer is asked for twice."""
-    spark, done = rows.sparkSession, None
+    """Calls until nothing is open or the attempts are used up.  Answers stand in a table under ``path``, a
+    version an attempt, so that a run that is started again asks only for what has no answer there."""
+    done = None
     for attempt in range(1, most + 1):
-        at = f"{path}/attempt={attempt}"
-        parse(model.apply_model(rows, call)).withColumn("attempt", F.lit(attempt)).write.mode("overwrite").parquet(at)
-        got = spark.read.parquet(at)
+        got = parse(answers.ask(rows, call, f"{path}/answers", f"attempt {attempt}")).withColumn("attempt", F.lit(attempt))
+        got = table(got, "attempts")
         done = got if done is None else done.unionByName(got)
         again = got.where(open_).select(*key)
         if again.isEmpty():

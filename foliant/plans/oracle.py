@@ -352,4 +352,7 @@ ORACLE_SQL: dict[str, str] = {
           UNION ALL SELECT r, step, p + step[p + 1], word_no + 1 FROM walk WHERE p < length(r)),
         words AS (SELECT r, word_no, substr(r, p + 1, step[p + 1]) AS word FROM walk WHERE p < length(r))
         SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY run_no, word_no) - 1 AS INTEGER) AS pos, word FROM placed JOIN words USING (r)""",
+    "answer_store": f"""SELECT doc_id, CASE WHEN doc_id % 10 <> 0 AND {_strip('text')} <> '' THEN sha256(text) END AS response,
+          (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 10 <> 0 AND {_strip('text')} <> '') AS n_sent,
+          (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 10 <> 0 AND {_strip('text')} <> '' AND source < 'm') AS n_first FROM documents""",
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.expr import l2_normalize
 from foliant.functions.store import scratch, table
-from foliant.operators import chat, chunking, html, index, model, pages, responses, retrieve, rules, segment, windows
+from foliant.operators import answers, chat, chunking, html, index, model, pages, responses, retrieve, rules, segment, windows
 from foliant.plans import jobs
 from foliant.sources import files
 
@@ -381,6 +381,15 @@ def apply_model(spark, sf_dir):
     return model.apply_model(asked, _digests).select("doc_id", "response")
 
 
+def answer_store(spark, sf_dir):
+    """Every document asked, in two runs over one table of answers; ``n_sent`` counts what either run sent."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("text")).otherwise(" ").alias("request"))
+    path = scratch(spark, "answers")
+    sent = answers.ask_missing(rows.where("source < 'm'"), _digests, path)
+    out = answers.ask(rows, _digests, path)
+    return out.select("doc_id", "response", F.lit(answers.read_store(spark, path).count()).alias("n_sent"), F.lit(sent).cast("long").alias("n_first"))
+
+
 def _counts(texts: list[str]) -> list[list[float]]:
     """Stands for an embedding model: numbers of characters."""
     return [[float(len(x)), float(x.count("e")), float(x.count(" "))] for x in texts]
@@ -463,6 +472,6 @@ QUERIES = {
         annotation_parse, annotate_chunks, annotation_stats, meaningful_rule, select_indexable, l2_normalize_, postings, bm25_stats, tfidf_keywords, phrase_dictionary, phrase_index,
         question_index, check_index, expand_queries, instruct_query, dense_search, question_search, rrf_fuse, minmax_scores, hybrid_search, merge_paths, filter_useful,
         assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests, rewrite_requests, parse_rewrites, first_rows,
-        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words,
+        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store,
     )
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from foliant.functions.expr import strip
+from foliant.functions.store import exists
 
 CHUNK = StructType([StructField(c, t) for c, t in (("doc_name", StringType()), ("page_number", StringType()), ("chunk_id", StringType()), ("text", StringType()))])
 ENRICHED = StructType([*CHUNK.fields, StructField("keyword_summaries", ArrayType(StringType())), StructField("generated_questions", ArrayType(StringType())), StructField("is_meaningful", BooleanType())])
@@ -87,16 +88,11 @@ def html_text(html: str) -> str:
     return "".join(p.parts)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def read_chunks(spark: SparkSession, path: str, enriched: bool = False) -> DataFrame:
     """Chunks of files that hold a JSON array each, or of what ``write_chunks`` wrote as JSON, a chunk a
     line.  ``page_number`` may be a number or a label there; it comes back as ``page_number int`` (null
     for labels) and ``page_label``."""
-    whole = not _exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+    whole = not exists(spark, f"{path.rstrip('/')}/_SUCCESS")
     rows = spark.read.schema(ENRICHED if enriched else CHUNK).option("multiLine", str(whole).lower()).json(path)
     return rows.withColumnRenamed("page_number", "page_label").withColumn("page_number", F.expr("try_cast(page_label as int)").cast(IntegerType()))
 
@@ -114,7 +110,7 @@ def write_index(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def missing_tables(spark: SparkSession, path: str, names: list[str] = INDEX_TABLES) -> list[str]:
-    return [n for n in names if not _exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS")]
+    return [n for n in names if not exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS")]
 
 
 def read_index(spark: SparkSession, path: str, names: list[str] = INDEX_TABLES) -> dict[str, DataFrame]:
