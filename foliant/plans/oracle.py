@@ -356,3 +356,5 @@ ORACLE_SQL: dict[str, str] = {
           (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 10 <> 0 AND {_strip('text')} <> '') AS n_sent,
           (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 10 <> 0 AND {_strip('text')} <> '' AND source < 'm') AS n_first FROM documents""",
 }
+#: The same hits, however they are found.
+ORACLE_SQL["block_search"] = ORACLE_SQL["bm25_search"]

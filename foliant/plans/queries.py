@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.expr import l2_normalize
 from foliant.functions.store import scratch, table
-from foliant.operators import answers, chat, chunking, html, index, model, pages, responses, retrieve, rules, segment, windows
+from foliant.operators import answers, chat, chunking, html, impacts, index, model, pages, responses, retrieve, rules, segment, windows
 from foliant.plans import jobs
 from foliant.sources import files
 
@@ -194,6 +194,14 @@ def bm25_search(spark, sf_dir):
     return out.select("request_id", "sub_id", "chunk_id", _r("score").alias("score"), "bm25_rank")
 
 
+def block_search(spark, sf_dir):
+    """The hits of ``bm25_search`` from postings in blocks with bounds."""
+    p, s = _bm25(spark, sf_dir)
+    held = impacts.write_blocks(p, s, scratch(spark, "blocks"))
+    out, _ = impacts.block_search(held, _text_queries(spark, sf_dir), 10)
+    return out.select("request_id", "sub_id", "chunk_id", _r("score").alias("score"), "bm25_rank")
+
+
 def tfidf_keywords(spark, sf_dir):
     p, s = _bm25(spark, sf_dir)
     return rules.tfidf_keywords(p, s).select("chunk_id", "term", "rank", _r("weight").alias("weight"))
@@ -472,6 +480,6 @@ QUERIES = {
         annotation_parse, annotate_chunks, annotation_stats, meaningful_rule, select_indexable, l2_normalize_, postings, bm25_stats, tfidf_keywords, phrase_dictionary, phrase_index,
         question_index, check_index, expand_queries, instruct_query, dense_search, question_search, rrf_fuse, minmax_scores, hybrid_search, merge_paths, filter_useful,
         assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests, rewrite_requests, parse_rewrites, first_rows,
-        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store,
+        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store, block_search,
     )
 }
