@@ -113,30 +113,45 @@ def question_index(chunks: DataFrame) -> DataFrame:
 
 
 def check_index(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, question_vectors: DataFrame) -> DataFrame:
-    """``check_name, n, severity``: how many rows offend each rule; 0 everywhere is a sound index."""
-    ids = chunks.where("chunk_id is not null").select("chunk_id")
-
-    def row(name: str, bad: DataFrame, severity: str) -> DataFrame:
-        return bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n", F.lit(severity).alias("severity"))
-
-    keys = ["chunk_id", "pos"]
-    checks = [
-        row("chunk_without_id", chunks.where("chunk_id is null"), "warning"),
-        row("duplicate_chunk_id", ids.groupBy("chunk_id").count().where("count > 1"), "warning"),
-        row("chunk_without_vector", ids.join(vectors.select("chunk_id"), "chunk_id", "left_anti"), "error"),
-        row("vector_without_chunk", vectors.select("chunk_id").join(ids, "chunk_id", "left_anti"), "error"),
-        row("question_without_vector", questions.select(*keys).join(question_vectors.select(*keys), keys, "left_anti"), "error"),
-        row("vector_without_question", question_vectors.select(*keys).join(questions.select(*keys), keys, "left_anti"), "error"),
-        row("question_without_chunk", questions.select("chunk_id").join(ids, "chunk_id", "left_anti"), "warning"),
+    """``check_name, n, severity, example``: how many rows offend each rule, and the least chunk_id among them; 0 everywhere is a
+    sound index.  Only the keys of the four tables are read; they are counted together by (chunk_id, pos), then by
+    chunk_id, so that no table is read or shuffled twice.  A null key belongs to nothing."""
+    kinds = ["c", "v", "q", "w"]
+
+    def keys(df: DataFrame, kind: str) -> DataFrame:
+        pos = F.col("pos").cast("long") if kind in "qw" else F.lit(None).cast("long")
+        return df.select(F.col("chunk_id").cast("string").alias("chunk_id"), pos.alias("pos"), *[F.lit(int(k == kind)).alias(k) for k in kinds])
+
+    rows = keys(chunks, "c").unionByName(keys(vectors, "v")).unionByName(keys(questions, "q")).unionByName(keys(question_vectors, "w"))
+    by_pos = rows.groupBy("chunk_id", "pos").agg(*[F.sum(k).alias(k) for k in kinds])
+    alone = lambda a, b: F.sum(F.when(F.col("pos").isNull() | F.col("chunk_id").isNull() | (F.col(b) == 0), F.col(a)).otherwise(0))
+    by_chunk = by_pos.groupBy("chunk_id").agg(alone("q", "w").alias("q_alone"), alone("w", "q").alias("w_alone"), *[F.sum(k).alias(k) for k in kinds])
+    named, no_chunk = F.col("chunk_id").isNotNull(), F.col("chunk_id").isNull() | (F.col("c") == 0)
+    rules = [
+        ("chunk_without_id", "warning", F.when(~named, F.col("c"))),
+        ("duplicate_chunk_id", "warning", F.when(named & (F.col("c") > 1), 1)),
+        ("chunk_without_vector", "error", F.when(named & (F.col("v") == 0), F.col("c"))),
+        ("vector_without_chunk", "error", F.when(no_chunk, F.col("v"))),
+        ("question_without_vector", "error", F.col("q_alone")),
+        ("vector_without_question", "error", F.col("w_alone")),
+        ("question_without_chunk", "warning", F.when(no_chunk, F.col("q"))),
     ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    found = by_chunk.agg(*[F.struct(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n"), F.min(F.when(n > 0, F.col("chunk_id"))).alias("example")).alias(name) for name, _, n in rules])
+    one = F.explode(F.array(*[F.struct(F.lit(name).alias("check_name"), F.col(name)["n"].alias("n"), F.lit(severity).alias("severity"), F.col(name)["example"].alias("example")) for name, severity, _ in rules]))
+    return found.select(one.alias("r")).select("r.*")
+
+
+def write_chunk_table(chunks: DataFrame, name: str, buckets: int = 200) -> DataFrame:
+    """The chunks as a catalog table bucketed and sorted by chunk_id, read back: a ``lookup`` in it moves the rows that ask and no text."""
+    chunks.repartition(buckets, "chunk_id").write.mode("overwrite").bucketBy(buckets, "chunk_id").sortBy("chunk_id").saveAsTable(name)
+    return chunks.sparkSession.table(name)
 
 
 def lookup(rows: DataFrame, chunks: DataFrame, order: str) -> DataFrame:
-    """Rows joined to their chunk's columns; of repeated ids the last in ``order`` counts."""
+    """Rows joined to their chunk's columns; of repeated ids the last in ``order`` counts.  Chunks that
+    nobody asks for go before anything is compared; in a table of ``write_chunk_table`` that happens where
+    they lie."""
     others = [c for c in chunks.columns if c not in ("chunk_id", order)]
-    last = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct(*others), order).alias("_m"))
+    wanted = rows.select("chunk_id").distinct()
+    last = chunks.join(wanted, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max_by(F.struct(*others), order).alias("_m"))
     return rows.join(last, "chunk_id").select(*rows.columns, *[F.col(f"_m.{c}").alias(c) for c in others if c not in rows.columns])

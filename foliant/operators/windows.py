@@ -6,28 +6,34 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
+from foliant.functions.store import table
 
-def context_windows(chunks: DataFrame, order: list[str] | None = None, middle_only: bool = True, span: int = 1000) -> DataFrame:
+MOST_RUNS = 20_000
+
+
+def context_windows(chunks: DataFrame, order: list[str] | None = None, middle_only: bool = True, span: int = 50_000) -> DataFrame:
     """Chunks with ``text_a`` and ``text_c``, the texts before and after in reading order: numbered
     pages first, then the order of pages and chunks.  By default only chunks with both, which leaves
     out documents of fewer than three.
 
-    A document is sorted in runs of ``span`` values of its order, so that a long one is many tasks; the
-    first and last rows of the runs, a row a run, are put beside each other and give the runs' outer
-    neighbours."""
+    The chunks of all documents are cut, in the whole order, into ranges of about ``span`` rows (MOST_RUNS ranges at most), by
+    splitters that Spark takes from a sample.  A document's rows of one range are a run, sorted by itself, so that a long
+    document or page is many tasks; the first and last rows of the runs, a row a run, are put beside
+    each other and give the runs' outer neighbours."""
     order = order or ["page_number", "page_ord", "chunk_no"]
-    kinds = {f.name: f.dataType for f in chunks.schema}
-    whole = [c for c in order if isinstance(kinds[c], IntegralType)]
-    # Runs follow the order: by the first column, and among its nulls by the second.
-    runs = [F.floor(F.col(c) / span) if k == 0 else F.when(F.col(order[k - 1]).isNull(), F.floor(F.col(c) / span)) for k, c in enumerate(order[:2]) if c in whole and order[0] in whole]
-    run = F.struct(*[F.coalesce(r, F.lit((1 << 62) if k == 0 else 0)).cast("long").alias(f"r{k}") for k, r in enumerate(runs)] or [F.lit(0).cast("long").alias("r0")])
-    rows = chunks.withColumn("_run", run)
     ends = [F.col(c).asc_nulls_last() for c in order]
+    runs = min(MOST_RUNS, max(1, -(-chunks.count() // span)))
+    # Written, so that no later look at the rows cuts them elsewhere.
+    rows = chunks.withColumn("_run", F.lit(0))
+    if runs > 1:
+        rows = table(chunks.repartitionByRange(runs, F.col("doc_name").asc_nulls_last(), *ends).withColumn("_run", F.spark_partition_id()), "runs")
     inner = Window.partitionBy("doc_name", "_run").orderBy(*ends)
     box = F.struct(F.col("text").alias("t"))
     near = rows.withColumns({"_a": F.lag(box).over(inner), "_c": F.lead(box).over(inner)})
+    if runs == 1:
+        out = near.select(*[c for c in chunks.columns if c not in ("text_a", "text_c")], F.col("_a.t").alias("text_a"), F.col("_c.t").alias("text_c"))
+        return out.where("text_a is not null and text_c is not null") if middle_only else out
     place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
     edges = rows.groupBy("doc_name", "_run").agg(F.min_by(box, place).alias("_first"), F.max_by(box, place).alias("_last"))
     outer = Window.partitionBy("doc_name").orderBy("_run")

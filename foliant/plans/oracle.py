@@ -256,13 +256,13 @@ ORACLE_SQL: dict[str, str] = {
     "check_index": _WITH + _CHUNKS + "," + _VECTORS + f""",
         q AS (SELECT chunk_id, generate_subscripts(generated_questions, 1) - 1 AS pos, {_strip('unnest(generated_questions)')} AS question FROM dc),
         qs AS (SELECT chunk_id, pos FROM q WHERE question <> '')
-        SELECT 'chunk_without_id' AS check_name, count(*) AS n, 'warning' AS severity FROM dc WHERE chunk_id IS NULL
-        UNION ALL SELECT 'duplicate_chunk_id', count(*), 'warning' FROM (SELECT chunk_id FROM dc GROUP BY 1 HAVING count(*) > 1)
-        UNION ALL SELECT 'chunk_without_vector', count(*), 'error' FROM dc WHERE chunk_id NOT IN (SELECT chunk_id FROM cv)
-        UNION ALL SELECT 'vector_without_chunk', count(*), 'error' FROM cv WHERE chunk_id NOT IN (SELECT chunk_id FROM dc)
-        UNION ALL SELECT 'question_without_vector', count(*), 'error' FROM qs WHERE pos <> 0
-        UNION ALL SELECT 'vector_without_question', 0, 'error'
-        UNION ALL SELECT 'question_without_chunk', count(*), 'warning' FROM qs WHERE chunk_id NOT IN (SELECT chunk_id FROM dc)""",
+        SELECT 'chunk_without_id' AS check_name, count(*) AS n, 'warning' AS severity, min(chunk_id) AS example FROM dc WHERE chunk_id IS NULL
+        UNION ALL SELECT 'duplicate_chunk_id', count(*), 'warning', min(chunk_id) FROM (SELECT chunk_id FROM dc GROUP BY 1 HAVING count(*) > 1)
+        UNION ALL SELECT 'chunk_without_vector', count(*), 'error', min(chunk_id) FROM dc WHERE chunk_id NOT IN (SELECT chunk_id FROM cv)
+        UNION ALL SELECT 'vector_without_chunk', count(*), 'error', min(chunk_id) FROM cv WHERE chunk_id NOT IN (SELECT chunk_id FROM dc)
+        UNION ALL SELECT 'question_without_vector', count(*), 'error', min(chunk_id) FROM qs WHERE pos <> 0
+        UNION ALL SELECT 'vector_without_question', 0, 'error', NULL
+        UNION ALL SELECT 'question_without_chunk', count(*), 'warning', min(chunk_id) FROM qs WHERE chunk_id NOT IN (SELECT chunk_id FROM dc)""",
     "expand_queries": """
         WITH w AS (SELECT item_id, text, string_split(text, ' ') AS s FROM benchmark),
         r AS (SELECT item_id AS request_id, text AS question, CASE WHEN item_id % 3 = 0 THEN s[1:2] ELSE [] END AS broad, s[3:4] AS keyword FROM w),

@@ -135,6 +135,17 @@ def test_context_windows_of_long_documents(spark):
         assert {(r.page_ord, r.text_a, r.text_c) for r in context_windows(df.repartition(5), middle_only=False, span=span).collect()} == want
 
 
+def test_context_windows_of_one_page(spark):
+    """100,000 chunks of one page: sixteen tasks or more, and every neighbour right."""
+    n = 100_000
+    df = spark.range(n).select(F.lit("d").alias("doc_name"), F.lit(1).alias("page_number"), F.lit(0).alias("page_ord"), F.col("id").alias("chunk_no"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    out = context_windows(df, middle_only=False, span=5000)
+    wrong = out.where("not (text_a <=> if(chunk_no = 0, null, concat('t', chunk_no - 1)) and text_c <=> if(chunk_no = 99999, null, concat('t', chunk_no + 1)))")
+    assert out.count() == n and wrong.isEmpty()
+    runs = spark.read.parquet(*[f.rsplit("/", 1)[0] for f in out.inputFiles()[:1]]).groupBy("_run").count().collect()
+    assert len(runs) >= 16 and max(r["count"] for r in runs) < 3 * 5000
+
+
 def test_sources_and_jobs(spark, tmp_path):
     (tmp_path / "a b+.txt").write_text("≦1≧" + "hello world. " * 3, encoding="utf-8")
     (tmp_path / "blank.txt").write_text(" 　\n")

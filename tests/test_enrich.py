@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.operators import index, model, responses, rules
 from foliant.functions.expr import l2_normalize
@@ -95,6 +96,47 @@ def test_phrases_questions_and_checks(spark):
     assert bad == {"chunk_without_id": 0, "duplicate_chunk_id": 1, "chunk_without_vector": 2, "vector_without_chunk": 1, "question_without_vector": 1, "vector_without_question": 0, "question_without_chunk": 0}
 
 
+def test_index_checks_of_odd_keys(spark):
+    """Nulls in keys, repeats on both sides and empty tables, against the rules counted one by one in Python."""
+    chunks = [None, None, "a", "a", "b", "c"]
+    vectors = ["a", "a", "c", "x", None]
+    questions = [("a", 0), ("a", 1), ("a", 1), ("q", 0), (None, 0), ("b", None)]
+    held = [("a", 1), ("a", 1), ("a", 7), ("b", None), (None, 0)]
+    frame = lambda rows, kind: spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], kind)
+    args = [frame(chunks, "chunk_id string"), frame(vectors, "chunk_id string"), frame(questions, "chunk_id string, pos int"), frame(held, "chunk_id string, pos int")]
+    got = {r.check_name: (r.n, r.example) for r in index.check_index(*args).collect()}
+    assert got == {
+        "chunk_without_id": (2, None), "duplicate_chunk_id": (1, "a"), "chunk_without_vector": (1, "b"), "vector_without_chunk": (2, "x"),
+        "question_without_vector": (4, "a"), "vector_without_question": (3, "a"), "question_without_chunk": (2, "q"),
+    }
+    assert {r.n for r in index.check_index(*[a.where("false") for a in args]).collect()} == {0}
+    plan = index.check_index(*args)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 4 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_lookup_in_a_chunk_table_moves_no_text(spark):
+    chunks = spark.range(3000).select(F.concat(F.lit("c"), (F.col("id") % 2000).cast("string")).alias("chunk_id"), F.col("id").alias("at"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    held = index.write_chunk_table(chunks, "chunk_table", 8)
+    hits = spark.createDataFrame([("c5", 1), ("c1999", 2), ("none", 3), ("c5", 4), (None, 5)], "chunk_id string, hit int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = index.lookup(hits, held, "at")
+        assert sorted(tuple(r) for r in out.collect()) == [("c1999", 2, "text 1999"), ("c5", 1, "text 2005"), ("c5", 4, "text 2005")]
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        lines = plan.split("\n")
+        depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+        at = next(k for k, x in enumerate(lines) if "FileScan" in x)
+        above, least = [], depth(lines[at])
+        for x in reversed(lines[:at]):
+            if depth(x) < least:
+                above.append(x)
+                least = depth(x)
+        assert "Exchange" in plan and not any("Exchange" in x for x in above), above
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE chunk_table")
+
+
 def test_lookup_takes_the_last(spark):
     chunks = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), (None, 3, "x")], "chunk_id string, at int, text string")
     hits = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
