@@ -39,7 +39,7 @@ BUILD = 48  # beam while building
 EXPAND = 4  # vectors of a beam whose neighbours are looked at together
 LANES = 256  # vectors searched together
 AUDIT = 64  # vectors of a shard that are compared with all of another
-NEAREST = 4  # of these the audit asks for the nearest as well as for the links
+NEAREST = 1  # of these the audit asks for so many nearest as well as for the links
 ROUNDING = 1e-4  # single-precision cosines within this of the threshold are looked at again
 
 
@@ -183,9 +183,9 @@ def links(layers: list[Layer], x: np.ndarray, q: np.ndarray, threshold: float, e
         truth[np.arange(len(audit)), audit] = -np.inf
     near = np.sort(truth, 1)[:, -min(NEAREST, n)]
     asked = truth >= np.minimum(low, near)[:, None]
-    todo = np.arange(len(q))
+    todo, first = np.arange(len(q)), ef
     while len(todo):
-        if 4 * ef >= n:  # a beam of the whole shard
+        if (4 if ef == first else 8) * ef >= n:  # a beam of the whole shard
             for k in range(0, len(todo), LANES):
                 t = todo[k : k + LANES]
                 out[t] |= single[t] @ wide.T >= low
@@ -205,7 +205,7 @@ def links(layers: list[Layer], x: np.ndarray, q: np.ndarray, threshold: float, e
         counted = np.isin(audit, todo) & ~np.isin(audit, full)
         missed = (asked & ~reached)[counted].sum()
         todo = todo if missed > (1 - recall) * max(1, asked[counted].sum()) else full
-        ef *= 2
+        ef *= 4
     rows, cols = np.nonzero(out)
     out[rows, cols] = _exact(q, x, rows, cols) >= threshold
     if own:
@@ -213,6 +213,11 @@ def links(layers: list[Layer], x: np.ndarray, q: np.ndarray, threshold: float, e
     return out
 
 
+def _weighed(m: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """The copies of what each row links with."""
+    return np.concatenate([m[k : k + 256] @ copies for k in range(0, len(m), 256)])
+
+
 def _joined(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each component of the links ``m`` between ``a`` and ``b``: one of its nodes beside each of the others."""
     out, left, right = [], m.any(1), np.ones(m.shape[1], bool)
@@ -274,11 +279,11 @@ def _meet(threshold: float, ef: int, recall: float):
             if one == other:
                 b, m = a, links(g, x, x, threshold, ef, recall, True)
                 m |= m.T
-                counts = [(a, m @ copies_a)]
+                counts = [(a, _weighed(m, copies_a))]
             else:
                 b, copies_b, y, h = _read(there)
                 m = links(h, y, x, threshold, ef, recall, False) | links(g, x, y, threshold, ef, recall, False).T
-                counts = [(a, m @ copies_b), (b, copies_a @ m)]
+                counts = [(a, _weighed(m, copies_b)), (b, _weighed(m.T, copies_a))]
             found = [(n[c > 0], np.zeros((c > 0).sum(), np.int64), c[c > 0]) for n, c in counts]
             if one == other:
                 np.fill_diagonal(m, True)
@@ -289,7 +294,7 @@ def _meet(threshold: float, ef: int, recall: float):
     return work
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 4096, ef: int = 32, recall: float = 0.95) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 8192, ef: int = 64, recall: float = 0.95) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (vec_id, label, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("v"))
     fine = "vec_id is not null and label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
