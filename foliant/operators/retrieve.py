@@ -14,6 +14,7 @@ from foliant.functions.store import table
 from foliant.operators.dense import nearest_blocks
 from foliant.operators.index import Bm25Stats, term_stats, with_terms
 from foliant.operators.model import fill_template
+from foliant.operators.pruned import VectorIndex, pruned_nearest
 from foliant.operators.segment import WORDS, Words
 
 SUB = ["request_id", "sub_id"]
@@ -39,30 +40,37 @@ def instruct_query(query: Column, task: str | None) -> Column:
     return F.concat(F.lit(f"Instruct: {task}\nQuery:"), query) if task else query
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, fetch: int = 5) -> DataFrame:
-    """``request_id, chunk_id, retrieval_score, rank, retrieval_type``.  ``vectors``: chunk_id, embedding;
+def dense_search(vectors: DataFrame | VectorIndex, queries: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, fetch: int = 5) -> DataFrame:
+    """``request_id, chunk_id, retrieval_score, rank, retrieval_type``.  ``vectors``: chunk_id, embedding, or an index whose ids are chunk_ids;
     ``queries``: request_id, sub_id, embedding.  Of each sub-query's ``fetch * top_k`` nearest those at the
     threshold or above count; a chunk has its best score over the sub-queries.  Both sides are
     normalised, so the score is a cosine."""
-    best = _nearest(vectors.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), queries, fetch * top_k, threshold)
+    best = _nearest(_by_id(vectors), queries, fetch * top_k, threshold)
     best = best.groupBy("request_id", F.col("id").alias("chunk_id")).agg(F.max("score").alias("retrieval_score"))
     return ranked(best, ["request_id"], "retrieval_score", "chunk_id", top_k).withColumn("retrieval_type", F.lit(DENSE_TYPE))
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
+def _by_id(vectors: DataFrame | VectorIndex) -> DataFrame | VectorIndex:
+    return vectors if isinstance(vectors, VectorIndex) else vectors.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def _nearest(vectors: DataFrame | VectorIndex, queries: DataFrame, k: int, threshold: float) -> DataFrame:
     """``request_id, sub_id, id, score, rank`` of each sub-query's nearest."""
     # A sub-query's key as JSON, which gives back any request_id, whatever signs it holds.
     asked = queries.select(F.to_json(F.struct(*SUB)).alias("q"), F.col("embedding").alias("v"))
-    found = nearest_blocks(vectors.withColumn("id", F.col("id").cast("string")), asked, k, threshold)
+    if isinstance(vectors, VectorIndex):
+        found, _ = pruned_nearest(vectors, asked, k, threshold)
+    else:
+        found = nearest_blocks(vectors.withColumn("id", F.col("id").cast("string")), asked, k, threshold)
     found = ranked(found, ["q"], "score", "id", k)
     key = F.from_json("q", queries.select(*SUB).schema)
     return found.select(*[key[c].alias(c) for c in SUB], "id", "score", "rank")
 
 
-def question_search(questions: DataFrame, queries: DataFrame, chunks: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, fetch: int = 5) -> DataFrame:
+def question_search(questions: DataFrame, queries: DataFrame, chunks: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, fetch: int = 5, index: VectorIndex | None = None) -> DataFrame:
     """Dense search over question vectors (question_id, chunk_id, question, embedding): each chunk with
-    its best question over all sub-queries, joined to the chunk ids that exist."""
-    named = questions.select(F.col("question_id").cast("string").alias("id"), F.col("embedding").alias("v"))
+    its best question over all sub-queries, joined to the chunk ids that exist.  With an ``index`` whose ids are question_ids, ``questions`` need no embedding."""
+    named = index or questions.select(F.col("question_id").cast("string").alias("id"), F.col("embedding").alias("v"))
     found = _nearest(named, queries, fetch * top_k, threshold)
     by = found.join(questions.select(F.col("question_id").cast("string").alias("id"), "question_id", "chunk_id", "question"), "id")
     w = Window.partitionBy("request_id", "chunk_id").orderBy(F.col("score").desc(), "question_id", "sub_id")
@@ -107,11 +115,11 @@ def minmax_scores(fused: DataFrame, score: str = "original_rrf_score") -> DataFr
     return fused.withColumn("retrieval_score", F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low)))
 
 
-def hybrid_search(postings: DataFrame, stats: Bm25Stats, vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, tokenizer: Words = WORDS) -> DataFrame:
+def hybrid_search(postings: DataFrame, stats: Bm25Stats, vectors: DataFrame | VectorIndex, queries: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, tokenizer: Words = WORDS) -> DataFrame:
     """Keyword path: BM25 and dense ranks (2 * top_k each) fused, normalised and cut to ``top_k``.
     ``queries``: request_id, sub_id, query, embedding."""
     words = bm25_search(postings, stats, queries, 2 * top_k, tokenizer=tokenizer)
-    near = _nearest(vectors.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), queries, 2 * top_k, threshold)
+    near = _nearest(_by_id(vectors), queries, 2 * top_k, threshold)
     near = near.select(*SUB, F.col("id").alias("chunk_id"), F.col("rank").alias("embedding_rank"))
     fused = minmax_scores(rrf_fuse(words, near))
     return ranked(fused, ["request_id"], "retrieval_score", "chunk_id", top_k).withColumn("retrieval_type", F.lit(HYBRID_TYPE))

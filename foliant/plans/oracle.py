@@ -358,3 +358,4 @@ ORACLE_SQL: dict[str, str] = {
 }
 #: The same hits, however they are found.
 ORACLE_SQL["block_search"] = ORACLE_SQL["bm25_search"]
+ORACLE_SQL["pruned_search"] = ORACLE_SQL["dense_search"]

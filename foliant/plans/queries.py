@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.expr import l2_normalize
 from foliant.functions.store import scratch, table
-from foliant.operators import answers, chat, chunking, html, impacts, index, model, pages, responses, retrieve, rules, segment, windows
+from foliant.operators import answers, chat, chunking, html, impacts, index, model, pages, pruned, responses, retrieve, rules, segment, windows
 from foliant.plans import jobs
 from foliant.sources import files
 
@@ -239,6 +239,13 @@ def dense_search(spark, sf_dir):
     return out.select("request_id", "chunk_id", _r("retrieval_score").alias("retrieval_score"), "rank", "retrieval_type")
 
 
+def pruned_search(spark, sf_dir):
+    """The hits of ``dense_search`` from codes of a byte a dimension and the full vectors that their bounds let through."""
+    vectors = _vectors(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
+    out = retrieve.dense_search(pruned.write_vectors(vectors, scratch(spark, "vectors")), _query_vectors(spark, sf_dir), threshold=NEAR)
+    return out.select("request_id", "chunk_id", _r("retrieval_score").alias("retrieval_score"), "rank", "retrieval_type")
+
+
 def _question_vectors(spark, sf_dir):
     names = _read(spark, sf_dir, "documents").select("doc_id", F.concat(_name(), F.lit("_p1_c1")).alias("chunk_id"))
     return _read(spark, sf_dir, "embeddings").join(names, F.floor(F.col("vec_id") / 4) == F.col("doc_id")).select(F.col("vec_id").alias("question_id"), "chunk_id", F.concat(F.lit("question "), F.col("vec_id").cast("string")).alias("question"), "embedding")
@@ -480,6 +487,6 @@ QUERIES = {
         annotation_parse, annotate_chunks, annotation_stats, meaningful_rule, select_indexable, l2_normalize_, postings, bm25_stats, tfidf_keywords, phrase_dictionary, phrase_index,
         question_index, check_index, expand_queries, instruct_query, dense_search, question_search, rrf_fuse, minmax_scores, hybrid_search, merge_paths, filter_useful,
         assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests, rewrite_requests, parse_rewrites, first_rows,
-        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store, block_search,
+        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store, block_search, pruned_search,
     )
 }
