@@ -13,9 +13,11 @@ The key of a line is the line stripped of ASCII white space with A-Z lower-cased
 3. The blocks' hashes probe the arrays of their shard; what is found returns to the block, whose
    documents drop the lines that another document owns.  Text is shuffled once, lines never.
 
+A shard that very many blocks ask, as a line found everywhere makes them, is copied, and its blocks are
+dealt to the copies.  A block that repeated rows have filled is cut into parts, which all get what was found for it.
+
 A null or empty text is one empty line.  Rows with a null doc_id keep all lines and make no line a
-copy; they go round the blocks.  Rows that repeat a doc_id count as one document; they are dealt by
-their texts too, so that one doc_id does not fill a block.  A text of any length is one row of one
+copy; they go round the blocks.  Rows that repeat a doc_id count as one document.  A text of any length is one row of one
 block.  An empty table gives an empty result.  Columns of the input named ``n_lines`` or ``n_dropped``
 are replaced.
 """
@@ -176,17 +178,38 @@ def line_shards(docs: DataFrame, least: int, block_docs: int, block_bytes: int,
     return held, table(shards, "line-shards"), block
 
 
+def _beside(df: DataFrame, numbers: DataFrame, key: str, name: str, most: int = 100_000) -> DataFrame:
+    """``df`` with the column ``name`` of ``numbers`` (key, name), 1 where they lack its key; they are sent to ``df`` if counted to be few."""
+    few = numbers.count() <= most
+    return df.join(F.broadcast(numbers) if few else numbers, key, "left").withColumn(name, F.coalesce(name, F.lit(1).cast("long")))
+
+
 def dedup_lines(docs: DataFrame, least: int = 10, block_docs: int = 1000, block_bytes: int = 8 << 20, shard_lines: int = 1 << 17) -> DataFrame:
     """``docs`` with the copies of shared lines taken out of ``text``, and ``n_lines``, ``n_dropped``."""
     every = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
     docs = every.where("doc_id is not null")
     held, shards, block = line_shards(docs, least, block_docs, block_bytes, shard_lines)
-    hits = held.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_probe, "block long, a long, b long, owner long, n_docs long")
+    copies = held.groupBy("shard").agg(F.ceil(F.count("*") / (4 * shard_lines)).cast("long").alias("copies")).where("copies > 1")
+    probes, shards = (x.withColumn("copies", F.lit(1)) if copies.isEmpty() else _beside(x, copies, "shard", "copies") for x in (held, shards))
+    probes = probes.withColumn("copy", F.pmod(F.xxhash64("block"), F.col("copies").cast("long")))
+    shards = shards.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)))
+    hits = probes.groupBy("shard", "copy").cogroup(shards.groupBy("shard", "copy")).applyInArrow(_probe, "block long, a long, b long, owner long, n_docs long")
+
+    size = F.greatest(F.count("*") / (4 * block_docs), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / (4 * block_bytes))
+    parts = docs.groupBy(block).agg(F.ceil(size).cast("long").alias("parts"), F.count("*").alias("n")).where("parts > 1 and n > 1").select("block", "parts")
+    full = not parts.isEmpty()
+    if full:
+        docs = table(docs, "documents")  # read twice in the same order, so that a row keeps its part
     names = docs.columns
     fields = [f.dataType.simpleString() for f in docs.schema]
-    inner = docs.select(block, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    inner = docs.select(block, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.monotonically_increasing_id().alias("part"))
+    if full:
+        inner = _beside(inner, parts, "block", "parts").withColumn("part", F.pmod("part", "parts")).drop("parts")
+        hits = _beside(hits, parts, "block", "parts").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    else:
+        inner, hits = inner.withColumn("part", F.lit(0).cast("long")), hits.withColumn("part", F.lit(0).cast("long"))
     schema = ", ".join([*(f"c{k} {t}" for k, t in enumerate(fields)), "n_lines long, n_dropped long"])
-    out = inner.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_drop(least, len(names), names.index("doc_id"), names.index("text")), schema)
+    out = inner.groupBy("block", "part").cogroup(hits.groupBy("block", "part")).applyInArrow(_drop(least, len(names), names.index("doc_id"), names.index("text")), schema)
     out = out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "n_lines", "n_dropped")
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     return out.unionByName(every.where("doc_id is null").withColumns({"n_lines": n_lines, "n_dropped": F.lit(0).cast("long")}))

@@ -106,3 +106,20 @@ def test_candidates_apart_from_base_spans(spark):
         one = apart(q.candidate, fixed)
         two = apart(q.named, fixed + one)
         assert [(s.start, s.end) for s in r.candidates] == sorted(one + two)
+
+
+def test_a_line_of_all_blocks_and_a_row_of_all_rows(spark, monkeypatch):
+    """Shards that all blocks ask are copied and full blocks cut: no group holds many times what it should, and the lines are right."""
+    from foliant.llm import line_dedup
+
+    common, row = "the line that all documents hold", "a row that stands very often\nthe line that all documents hold"
+    rows = [(k, f"{common}\nthe own line of document {k}") for k in range(2000)] + [(5000, row)] * 3000 + [(6000, row)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    beside = line_dedup._beside
+    monkeypatch.setattr(line_dedup, "_beside", lambda df, numbers, key, name: seen.append((key, {r[1] for r in numbers.collect()})) or beside(df, numbers, key, name, 0 if key == "shard" else 100))
+    out = line_dedup.dedup_lines(docs, block_docs=20, block_bytes=1 << 30, shard_lines=50).groupBy("doc_id", "text", "n_lines", "n_dropped").count().collect()
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped): r["count"] for r in out}
+    want = {(k, rows[k][1] if k == 0 else f"the own line of document {k}", 2, int(k > 0)): 1 for k in range(2000)}
+    assert got == want | {(5000, "a row that stands very often", 2, 1): 3000, (6000, "", 2, 2): 1}
+    assert [k for k, _ in seen] == ["shard", "shard", "block", "block"] and max(seen[0][1]) >= 2 and max(seen[2][1]) >= 3000 // 80

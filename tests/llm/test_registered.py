@@ -106,7 +106,7 @@ def test_pipeline_stages_on_odd_rows(spark):
     prose = lambda n: " ".join(rng.choice(["the", "and", "of", "it"]) if rng.random() < 0.3 else "".join(rng.choice("aeioumnrstl") for _ in range(rng.randint(3, 8))) for _ in range(n))
     one, other, long = prose(120), prose(120), prose(60_000)
     rows = [(1, None, "en", "s", None), (2, "", None, None, 0), (3, one, "en", "s", 5), (3, one, "en", "s", 5), (4, long, "de", "s", 9), (None, other, "fr", "s", 7), (5, one, "en", "s", 5), (6, " \n ", "en", "s", 3)]
-    docs = spark.createDataFrame([(*r, "k", "b") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, rate string")
+    docs = spark.createDataFrame([(*r, "k", "b", "c", "d") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, rate string, _own_kept string, _OWN__rate string")
     got = {}
     for name, stage in cp.STAGES:
         out = stage(spark, docs, DIR)
