@@ -21,7 +21,10 @@ from foliant.llm.sentence_pieces import round_trip
 def _aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, list[Column]]:
     """``docs`` with the columns whose names a stage needs for its own renamed, and how to get the
     columns of ``docs`` back."""
-    names = {c: f"_own_{c}" for c in docs.columns if c.lower() in taken}
+    free = "_own"
+    while any(c.lower().startswith(f"{free}_") for c in docs.columns):
+        free += "_"
+    names = {c: f"{free}_{c}" for c in docs.columns if c.lower() in taken}
     return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
 
 
