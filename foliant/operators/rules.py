@@ -17,6 +17,94 @@ def tfidf_keywords(postings: DataFrame, stats: Bm25Stats, k: int = 5) -> DataFra
     return ranked(weighed, ["chunk_id"], "weight", "term", k).select("chunk_id", "term", "rank", "weight")
 
 
+#: Words of a phrase stand in one run between other signs than letters, digits and spaces.
+BREAK = r"[^\p{L}\p{N}_ ]+"
+
+
+def phrase_candidates(chunks: DataFrame, longest: int = 3) -> DataFrame:
+    """``chunk_id, phrase, size, tf``: every run of 2 to ``longest`` words, lower-cased, with its number in the chunk."""
+    words = F.transform(F.split(F.lower("text"), BREAK, -1), lambda s: F.filter(F.split(s, " +", -1), lambda w: w != ""))
+
+    def grams(w: Column) -> Column:
+        places = lambda k: F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        run = lambda k: lambda i: F.struct(F.array_join(F.slice(w, i, F.lit(k)), " ").alias("phrase"), F.lit(k).alias("size"))
+        return F.concat(*[F.transform(places(k), run(k)) for k in range(2, longest + 1)])
+
+    rows = chunks.select("chunk_id", F.explode(words).alias("w")).select("chunk_id", F.explode(grams(F.col("w"))).alias("g"))
+    return rows.groupBy("chunk_id", "g.phrase", "g.size").agg(F.count("*").alias("tf"))
+
+
+def phrase_weights(candidates: DataFrame, least: int = 2) -> DataFrame:
+    """``phrase, size, f, df, c_value`` of the phrases that occur ``least`` times or more.  The C-value is log2(size + 1) times how often the
+    phrase stands by itself: its number, less the mean number of the longer phrases that hold it."""
+    counted = candidates.groupBy("phrase", "size").agg(F.sum("tf").alias("f"), F.count("*").alias("df")).where(F.col("f") >= least)
+    counted = table(counted, "phrases")
+    words = F.split("phrase", " ")
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("size") - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))))
+    held = counted.where("size > 2").select(F.explode(parts).alias("phrase"), F.col("f").alias("fl")).groupBy("phrase").agg((F.sum("fl") / F.count("*")).alias("nested"))
+    return counted.join(held, "phrase", "left").withColumn("c_value", F.log2(F.col("size") + 1) * (F.col("f") - F.coalesce("nested", F.lit(0.0)))).drop("nested")
+
+
+def phrase_labels(chunks: DataFrame, k: int = 5, longest: int = 3, least: int = 2) -> DataFrame:
+    """``chunk_id, phrase, rank, weight``: up to ``k`` labels of several words for each chunk, the phrases of the greatest
+    tf * (C-value / number) * ln(chunks / chunks with it); those of no weight are none.  Ties by phrase.  A phrase that many chunks hold is split
+    among tasks, as in ``with_terms``.  Null texts have no labels."""
+    n = chunks.count()
+    found = table(phrase_candidates(chunks, longest), "phrase-candidates")
+    weights = phrase_weights(found, least).where("c_value > 0")
+    facts = table(weights.select(F.col("phrase").alias("term"), "df", (F.col("c_value") / F.col("f") * F.log(F.lit(n) / F.col("df"))).alias("each")), "phrase-weights")
+    met = with_terms(found.select("chunk_id", F.col("phrase").alias("term"), "tf"), facts, n).withColumn("weight", F.col("tf") * F.col("each")).where("round(weight, 9) > 0")
+    return ranked(met, ["chunk_id"], "weight", "term", k).select("chunk_id", F.col("term").alias("phrase"), "rank", "weight")
+
+
+def running_heads(pages: DataFrame, edge: int = 2, share: float = 0.3, least: int = 3) -> DataFrame:
+    """``doc_name, place, line, n``: headers (``place`` 1, 2, ... from the top) and footers (-1, -2, ... from the end): lines that stand, digits folded
+    to #, at the same place of ``share`` of a document's pages, on ``least`` pages or more.  ``pages``: doc_name, page_ord, text."""
+    lines = _edge_lines(pages, edge)
+    count = pages.groupBy("doc_name").agg(F.count("*").alias("pages"))
+    often = lines.groupBy("doc_name", "place", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    same = often["doc_name"].eqNullSafe(count["doc_name"])
+    return often.join(count, same).where(F.col("n") >= share * F.col("pages")).select(often["doc_name"], "place", "line", "n")
+
+
+def _folded(line: Column) -> Column:
+    return F.regexp_replace(strip(line), "[0-9]+", "#")
+
+
+def _shown(text: Column) -> Column:
+    """The lines of a page that are not blank."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: strip(x) != "")
+
+
+def _edge_lines(pages: DataFrame, edge: int) -> DataFrame:
+    shown = _shown(F.col("text"))
+    places = F.array(*[F.struct(F.lit(p).alias("place"), _folded(F.try_element_at("_l", F.lit(p))).alias("line")) for k in range(1, edge + 1) for p in (k, -k)])
+    rows = pages.select("doc_name", shown.alias("_l")).where("size(_l) > 0")
+    return rows.select("doc_name", F.explode(places).alias("x")).select("doc_name", "x.place", "x.line").where("line is not null")
+
+
+def drop_running_heads(pages: DataFrame, edge: int = 2, share: float = 0.3, least: int = 3) -> DataFrame:
+    """Pages without their running headers and footers; from the outside in, a line goes only if all outside of it went.
+    Pages without any keep their text as it is.  Null texts stay null."""
+    heads = running_heads(pages, edge, share, least)
+    by_doc = heads.groupBy("doc_name").agg(F.collect_set(F.struct("place", "line")).alias("_heads")).withColumnRenamed("doc_name", "_d")  # at most 2 * edge / share lines a document
+    met = pages.join(by_doc, F.col("doc_name").eqNullSafe(F.col("_d")), "left").drop("_d")
+    shown = _shown(F.col("text"))
+    met = met.withColumn("_l", F.when(F.col("_heads").isNotNull(), shown))
+
+    def gone(sign: int) -> Column:
+        out = F.lit(0)
+        for k in range(edge, 0, -1):
+            hit = F.array_contains("_heads", F.struct(F.lit(sign * k).alias("place"), _folded(F.try_element_at("_l", F.lit(sign * k))).alias("line")))
+            out = F.when(F.coalesce(hit, F.lit(False)), 1 + out).otherwise(0)
+        return out
+
+    met = met.withColumns({"_top": gone(1), "_end": gone(-1)})
+    left = F.slice("_l", F.col("_top") + 1, F.greatest(F.lit(0), F.size("_l") - F.col("_top") - F.col("_end")))
+    text = F.when(F.coalesce(F.col("_top") + F.col("_end") > 0, F.lit(False)), F.array_join(left, "\n")).otherwise(F.col("text"))
+    return met.withColumn("text", text).select(*pages.columns)
+
+
 def is_meaningful_rule(text: Column | str = "text", least_chars: int = 20, least_words: int = 4, letters: float = 0.5) -> Column:
     """False for null or blank texts, fragments, and texts that are mostly not letters (page headers,
     figure numbers, rules of signs)."""

@@ -355,6 +355,19 @@ ORACLE_SQL: dict[str, str] = {
     "answer_store": f"""SELECT doc_id, CASE WHEN doc_id % 10 <> 0 AND {_strip('text')} <> '' THEN sha256(text) END AS response,
           (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 10 <> 0 AND {_strip('text')} <> '') AS n_sent,
           (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 10 <> 0 AND {_strip('text')} <> '' AND source < 'm') AS n_first FROM documents""",
+    "phrase_labels": r"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(unnest(string_split_regex(lower(text), '[^\p{L}\p{N}_ ]+')), ' +'), lambda w: w <> '') AS w FROM documents),
+        g AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM s WHERE len(w) > 1), (VALUES (2), (3)) t(k) WHERE i + k - 1 <= len(w)),
+        c AS (SELECT doc_id, phrase, k, count(*) AS tf FROM g GROUP BY ALL),
+        f AS (SELECT phrase, k, sum(tf) AS f, count(*) AS df FROM c GROUP BY ALL HAVING sum(tf) >= 2),
+        p AS (SELECT DISTINCT phrase AS whole, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k = 3)),
+        h AS (SELECT phrase, sum(f) / count(*) AS nested FROM p GROUP BY phrase),
+        v AS (SELECT f.phrase, log2(k + 1) * (f - coalesce(nested, 0)) / f * ln((SELECT count(*) FROM documents) / df) AS each FROM f LEFT JOIN h USING (phrase)),
+        r AS (SELECT doc_id, phrase, tf * each AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * each, 9) DESC, phrase) AS rank FROM c JOIN v USING (phrase) WHERE round(tf * each, 9) > 0)
+        SELECT doc_id AS chunk_id, phrase, CAST(rank AS INTEGER) AS rank, round(weight, 6) AS weight FROM r WHERE rank <= 5""",
+    "running_heads": f"""WITH l AS (SELECT source AS doc_name, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_strip('x')} <> '') AS l FROM documents),
+        e AS (SELECT doc_name, p AS place, regexp_replace({_strip('l[p]')}, '[0-9]+', '#', 'g') AS line FROM l, (VALUES (1), (2), (-1), (-2)) t(p) WHERE l[p] IS NOT NULL)
+        SELECT doc_name, place, line, count(*) AS n FROM e JOIN (SELECT source AS doc_name, count(*) AS pages FROM documents GROUP BY source) USING (doc_name)
+        GROUP BY doc_name, place, line, pages HAVING count(*) >= 2 AND count(*) >= 0.001 * pages""",
 }
 #: The same hits, however they are found.
 ORACLE_SQL["block_search"] = ORACLE_SQL["bm25_search"]

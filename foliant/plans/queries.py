@@ -207,6 +207,17 @@ def tfidf_keywords(spark, sf_dir):
     return rules.tfidf_keywords(p, s).select("chunk_id", "term", "rank", _r("weight").alias("weight"))
 
 
+def phrase_labels(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return rules.phrase_labels(chunks).select("chunk_id", "phrase", "rank", _r("weight").alias("weight"))
+
+
+def running_heads(spark, sf_dir):
+    """Lines that a source repeats at the edges of its documents, a document being a page."""
+    pages = _read(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("doc_id").alias("page_ord"), "text")
+    return rules.running_heads(pages, share=0.001, least=2)
+
+
 def phrase_dictionary(spark, sf_dir):
     return index.phrase_dictionary(doc_chunks(spark, sf_dir))
 
@@ -487,6 +498,6 @@ QUERIES = {
         annotation_parse, annotate_chunks, annotation_stats, meaningful_rule, select_indexable, l2_normalize_, postings, bm25_stats, tfidf_keywords, phrase_dictionary, phrase_index,
         question_index, check_index, expand_queries, instruct_query, dense_search, question_search, rrf_fuse, minmax_scores, hybrid_search, merge_paths, filter_useful,
         assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests, rewrite_requests, parse_rewrites, first_rows,
-        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store, block_search, pruned_search,
+        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store, block_search, pruned_search, phrase_labels, running_heads,
     )
 }
