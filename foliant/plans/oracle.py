@@ -241,7 +241,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM dc WHERE coalesce(is_meaningful, true) AND {_strip('text')} <> ''""",
     "l2_normalize": f"SELECT vec_id, CAST(unnest(range(len(u))) AS INTEGER) AS pos, round(unnest(u), 6) AS value FROM (SELECT vec_id, {_UNIT} AS u FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda z: z * 3.0) AS v FROM embeddings))",
     "postings": _WITH + _POSTINGS + "SELECT chunk_id, term, tf, dl FROM post",
-    "bm25_stats": _WITH + _POSTINGS + "SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_stats": r"""WITH pairs AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS term FROM documents),
+        raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM pairs WHERE length(term) > 1 GROUP BY term),
+        mean AS MATERIALIZED (SELECT 0.25 * avg(r) AS low FROM raw)
+        SELECT term, df, round(CASE WHEN r < 0 THEN low ELSE r END, 6) AS idf FROM raw CROSS JOIN mean""",
     "bm25_search": _WITH + _POSTINGS + "," + _bm25(_TEXT_Q, 10) + "SELECT request_id, sub_id, chunk_id, round(score, 6) AS score, bm25_rank FROM bm",
     "tfidf_keywords": _WITH + _POSTINGS + """
         SELECT chunk_id, term, CAST(rank AS INTEGER) AS rank, round(weight, 6) AS weight FROM (
@@ -368,6 +371,7 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT doc_name, p AS place, regexp_replace({_strip('l[p]')}, '[0-9]+', '#', 'g') AS line FROM l, (VALUES (1), (2), (-1), (-2)) t(p) WHERE l[p] IS NOT NULL)
         SELECT doc_name, place, line, count(*) AS n FROM e JOIN (SELECT source AS doc_name, count(*) AS pages FROM documents GROUP BY source) USING (doc_name)
         GROUP BY doc_name, place, line, pages HAVING count(*) >= 2 AND count(*) >= 0.001 * pages""",
+    "text_corpus": "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE line <> '' GROUP BY line",
 }
 #: The same hits, however they are found.
 ORACLE_SQL["block_search"] = ORACLE_SQL["bm25_search"]

@@ -407,6 +407,14 @@ def apply_model(spark, sf_dir):
     return model.apply_model(asked, _digests).select("doc_id", "response")
 
 
+def text_corpus(spark, sf_dir):
+    """The documents written as text files, which are read as a corpus: every line, and how often it stands."""
+    path = scratch(spark, "texts")
+    _read(spark, sf_dir, "documents").where("text is not null").select("text").repartition(32).write.text(path)
+    lines = files.read_text_corpus(spark, path).select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.where("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
+
+
 def answer_store(spark, sf_dir):
     """Every document asked, in two runs over one table of answers; ``n_sent`` counts what either run sent."""
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("text")).otherwise(" ").alias("request"))
@@ -498,6 +506,6 @@ QUERIES = {
         annotation_parse, annotate_chunks, annotation_stats, meaningful_rule, select_indexable, l2_normalize_, postings, bm25_stats, tfidf_keywords, phrase_dictionary, phrase_index,
         question_index, check_index, expand_queries, instruct_query, dense_search, question_search, rrf_fuse, minmax_scores, hybrid_search, merge_paths, filter_useful,
         assemble_context, request_outcomes, retrieval_stats, recent_history, format_history, generator_messages, judge_requests, rewrite_requests, parse_rewrites, first_rows,
-        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store, block_search, pruned_search, phrase_labels, running_heads,
+        build_requests, apply_model, embed_texts, lookup, preview, chunk_files, index_files, trial_build, learn_lexicon, segment_words, answer_store, block_search, pruned_search, phrase_labels, running_heads, text_corpus,
     )
 }
