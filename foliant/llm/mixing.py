@@ -15,7 +15,7 @@ to the least total at which no domain needs rates below 1, so that nothing is th
 Null and empty texts have no tokens, posteriors equal to the prior and keep a rate like any other.
 Repeated rows count each time.  A null doc_id has a rate too.  Targets of domains that no labelled
 document has are left out and the others scaled up; without any labelled document, or any target,
-every rate is 1.  An empty table gives an empty result.  Columns named like the results are replaced.
+every rate is 1.  Texts of any length are counted whole.  An empty table gives an empty result.  Columns named like the results are replaced.
 """
 
 from __future__ import annotations

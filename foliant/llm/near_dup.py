@@ -19,7 +19,8 @@ All links are confirmed on the full sets, recomputed from whole texts.
 
 Rows with null text have empty sets.  Repeated doc_ids are one document in the components, whatever
 their texts; each row comes back.  A null doc_id has a null component and is kept.  Empty tables give empty results.
-Columns of ``docs`` other than ``doc_id`` and ``text`` are not used.
+A text of any length is taken whole, a very long one alone.  Ties go to the smaller id.  Columns of ``docs`` other
+than ``doc_id`` and ``text`` are not used.
 """
 
 from __future__ import annotations

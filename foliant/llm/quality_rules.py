@@ -6,7 +6,7 @@ few numbers up into the counts of every threshold condition and takes the best.
 conjunction of such conditions, grown on two thirds of the rows and pruned on the rest; rules that
 are not precise enough end the list.  All labelled rows are used.
 
-Null and empty texts have zero statistics and fail the base rules.  Repeated rows are judged alike.
+Null and empty texts have zero statistics and fail the base rules; long ones are counted to their end.  Repeated rows are judged alike.
 Without labelled rows of both classes the list is empty and keeps everything that passes the base.
 An empty table gives an empty result.  The added columns replace columns of ``docs`` with their names.
 """

@@ -6,7 +6,8 @@ batches of statistics then traverse together, one level of all trees at a time.
 
 Null and empty texts have zero statistics and are scored like any other row.  Repeated rows are
 scored alike; a null doc_id is scored and not held out.  With labels of one class only the score is
-that class's share (0.5 without labels).  An empty table gives an empty result.
+that class's share (0.5 without labels).  Batches are cut by bytes; a longer text is counted whole, its words in
+pieces.  Columns other than ``doc_id`` and ``text`` are not used, so that no name clashes.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

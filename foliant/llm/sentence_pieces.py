@@ -7,7 +7,7 @@ which each takes its best pair in every round; long ones and those with characte
 vocabulary have a heap each.  In every Arrow batch the chunks met for the first time are checked
 against the library; if they differ, the batch takes the library's ids.
 
-Null and empty texts give the end id alone.  Repeated rows give repeated rows; other columns of
+Null and empty texts give the end id alone; texts of any length are encoded whole.  Repeated rows give repeated rows; other columns of
 ``docs`` are ignored; an empty table gives an empty result.
 """
 
