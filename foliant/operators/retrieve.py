@@ -83,7 +83,7 @@ def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit
     """``request_id, sub_id, chunk_id, score, bm25_rank``: positive scores, the ``limit`` best of each
     sub-query.  Queries are cut by the ``tokenizer`` that cut the chunks.  The terms of up to ``broadcast_terms`` sub-query terms go
     to the postings, which are not shuffled; more meet them by term, the terms that many chunks hold apart
-    from the rest.  The shuffle that is left is on (sub-query, chunk), which is even however common a term
+    from the rest.  The shuffle that is left is of the asked postings by chunk, or of the scores by (sub-query, chunk), which is even however common a term
     is."""
     cut = tokenizer.add(queries.select(*SUB, "query"), "query", "_t")
     terms = table(cut.select(*SUB, F.explode("_t").alias("term")).groupBy(*SUB, "term").agg(F.count("*").alias("qtf")), "query-terms")
@@ -92,7 +92,8 @@ def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit
     df = term_stats(postings.join(sent(terms.select("term").distinct()), "term", "left_semi"))
     asked = terms.join(sent(df), "term")
     weight = stats.idf(F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    met = postings.join(F.broadcast(asked), "term") if few else with_terms(postings, table(asked, "query-terms"), stats.n)
+    # Few terms: their postings are dealt by chunk, so that a chunk's scores are added up where they are made.
+    met = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("chunk_id").join(F.broadcast(asked), "term") if few else with_terms(postings, table(asked, "query-terms"), stats.n)
     scores = met.select(*SUB, "chunk_id", (F.col("qtf") * weight).alias("w")).groupBy(*SUB, "chunk_id").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
     return ranked(scores, SUB, "score", "chunk_id", limit, "bm25_rank")
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.expr import ranked, strip
 from foliant.functions.store import table
-from foliant.operators.index import Bm25Stats, term_stats, with_terms
+from foliant.operators.index import PART, Bm25Stats, bm25_stats, build_postings, counted_tokens, ids_are_unique, slices, term_stats, top_terms, with_terms
+from foliant.operators.segment import WORDS, Words
 
 
 def tfidf_keywords(postings: DataFrame, stats: Bm25Stats, k: int = 5) -> DataFrame:
@@ -17,21 +23,65 @@ def tfidf_keywords(postings: DataFrame, stats: Bm25Stats, k: int = 5) -> DataFra
     return ranked(weighed, ["chunk_id"], "weight", "term", k).select("chunk_id", "term", "rank", "weight")
 
 
+def chunk_keywords(chunks: DataFrame, k: int = 5, tokenizer: Words = WORDS) -> DataFrame:
+    """``tfidf_keywords`` of chunks, whose terms are counted where they lie; only terms that few chunks hold are moved."""
+    if not ids_are_unique(chunks):
+        postings = build_postings(chunks, tokenizer=tokenizer, unique=False)
+        return tfidf_keywords(postings, bm25_stats(chunks, postings), k)
+    counted = counted_tokens(tokenizer.add(chunks.select("chunk_id", "text"), "text", "_t"))
+    n = chunks.count()
+    facts = table(counted.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    return top_terms(counted, facts.withColumn("each", F.log(F.lit(n) / F.col("df"))), k)
+
+
 #: Words of a phrase stand in one run between other signs than letters, digits and spaces.
 BREAK = r"[^\p{L}\p{N}_ ]+"
 
 
-def phrase_candidates(chunks: DataFrame, longest: int = 3) -> DataFrame:
-    """``chunk_id, phrase, size, tf``: every run of 2 to ``longest`` words, lower-cased, with its number in the chunk."""
+def counted_phrases(chunks: DataFrame, longest: int = 3) -> DataFrame:
+    """``chunk_id, terms array<struct<term, tf>>``: every run of 2 to ``longest`` words of each row, lower-cased, with its number there, counted where the row lies."""
     words = F.transform(F.split(F.lower("text"), BREAK, -1), lambda s: F.filter(F.split(s, " +", -1), lambda w: w != ""))
-
-    def grams(w: Column) -> Column:
-        places = lambda k: F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        run = lambda k: lambda i: F.struct(F.array_join(F.slice(w, i, F.lit(k)), " ").alias("phrase"), F.lit(k).alias("size"))
-        return F.concat(*[F.transform(places(k), run(k)) for k in range(2, longest + 1)])
-
-    rows = chunks.select("chunk_id", F.explode(words).alias("w")).select("chunk_id", F.explode(grams(F.col("w"))).alias("g"))
-    return rows.groupBy("chunk_id", "g.phrase", "g.size").agg(F.count("*").alias("tf"))
+    runs = F.filter(words, lambda w: F.size(w) > 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            whole = whole.filter(pc.greater(pc.list_value_length(whole.column("runs")), 0))
+            lists = whole.column("runs")
+            inner = pc.list_value_length(lists.flatten()).to_numpy()
+            ends = np.append(0, np.cumsum(inner))[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)]
+            for at, upto in slices(np.diff(ends), PART):
+                b = whole.slice(at, upto - at)
+                lists = b.column("runs")
+                run = np.repeat(np.arange(len(lists.flatten())), pc.list_value_length(lists.flatten()))
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists))[run]
+                flat = lists.flatten().flatten()
+                code = flat.dictionary_encode().indices.to_numpy().astype(np.int64)
+                word, so_far, found = code, code, []
+                for k in range(2, min(longest, len(code)) + 1):
+                    n = len(code) - k + 1
+                    so_far = np.unique(so_far[:n] * (len(code) + 1) + word[k - 1 :], return_inverse=True)[1].astype(np.int64)
+                    place = np.flatnonzero(run[:n] == run[k - 1 :])
+                    _, first, times = np.unique(row[place] * (len(code) + 1) + so_far[place], return_index=True, return_counts=True)
+                    first = place[first]
+                    found.append((row[first], pc.binary_join_element_wise(*[flat.take(pa.array(first + i)) for i in range(k)], " "), times))
+                of = np.concatenate([r for r, _, _ in found]) if found else np.zeros(0, np.int64)
+                order = np.argsort(of, kind="stable")
+                phrases = pa.concat_arrays([p for _, p, _ in found] or [pa.array([], pa.string())]).take(pa.array(order))
+                times = pa.array(np.concatenate([t for _, _, t in found])[order] if found else [], pa.int64())
+                cuts = np.searchsorted(of[order], np.arange(b.num_rows + 1)).astype(np.int32)
+                yield pa.record_batch({"chunk_id": b.column("chunk_id"), "terms": pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([phrases, times], ["term", "tf"]))})
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return chunks.select("chunk_id", runs.alias("runs")).mapInArrow(work, f"chunk_id {kind}, terms array<struct<term:string,tf:bigint>>")
+
+
+def phrase_candidates(chunks: DataFrame, longest: int = 3, unique: bool | None = None) -> DataFrame:
+    """``chunk_id, phrase, size, tf``: every run of 2 to ``longest`` words, lower-cased, with its number in the chunk.  Only where a chunk_id stands
+    more than once are counts moved."""
+    rows = counted_phrases(chunks, longest).select("chunk_id", F.explode("terms").alias("_e")).select("chunk_id", F.col("_e.term").alias("phrase"), F.col("_e.tf").alias("tf"))
+    if not (ids_are_unique(chunks) if unique is None else unique):
+        rows = rows.groupBy("chunk_id", "phrase").agg(F.sum("tf").alias("tf"))
+    return rows.select("chunk_id", "phrase", F.size(F.split("phrase", " ")).alias("size"), "tf")
 
 
 def phrase_weights(candidates: DataFrame, least: int = 2) -> DataFrame:
@@ -47,14 +97,19 @@ def phrase_weights(candidates: DataFrame, least: int = 2) -> DataFrame:
 
 def phrase_labels(chunks: DataFrame, k: int = 5, longest: int = 3, least: int = 2) -> DataFrame:
     """``chunk_id, phrase, rank, weight``: up to ``k`` labels of several words for each chunk, the phrases of the greatest
-    tf * (C-value / number) * ln(chunks / chunks with it); those of no weight are none.  Ties by phrase.  A phrase that many chunks hold is split
-    among tasks, as in ``with_terms``.  Null texts have no labels."""
-    n = chunks.count()
-    found = table(phrase_candidates(chunks, longest), "phrase-candidates")
-    weights = phrase_weights(found, least).where("c_value > 0")
-    facts = table(weights.select(F.col("phrase").alias("term"), "df", (F.col("c_value") / F.col("f") * F.log(F.lit(n) / F.col("df"))).alias("each")), "phrase-weights")
-    met = with_terms(found.select("chunk_id", F.col("phrase").alias("term"), "tf"), facts, n).withColumn("weight", F.col("tf") * F.col("each")).where("round(weight, 9) > 0")
-    return ranked(met, ["chunk_id"], "weight", "term", k).select("chunk_id", F.col("term").alias("phrase"), "rank", "weight")
+    tf * (C-value / number) * ln(chunks / chunks with it); those of no weight are none.  Ties by phrase.  Phrases are counted where
+    the chunks lie; one that many chunks hold is sent to them.  Null texts have no labels."""
+    n, unique = chunks.count(), ids_are_unique(chunks)
+    found = phrase_candidates(chunks, longest, unique)
+    counted = counted_phrases(chunks, longest)
+    if not unique:
+        found = table(found, "phrase-candidates")
+        counted = found.groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("phrase").alias("term"), "tf")).alias("terms"))
+    weights = phrase_weights(found, least)
+    # Those of no weight stay out of a chunk's best, whatever their number in it.
+    each = F.when(F.col("c_value") > 0, F.col("c_value") / F.col("f") * F.log(F.lit(n) / F.col("df")))
+    facts = table(weights.select(F.col("phrase").alias("term"), "df", each.alias("each")).where("each > 0"), "phrase-weights")
+    return top_terms(counted, facts, k, floor=True).withColumnRenamed("term", "phrase")
 
 
 def running_heads(pages: DataFrame, edge: int = 2, share: float = 0.3, least: int = 3) -> DataFrame:
