@@ -20,6 +20,7 @@ from foliant.functions.expr import l2_normalize
 from foliant.functions.store import table
 from foliant.operators.dense import BROADCAST_BYTES, FOUND, nearest_blocks
 
+QUERY_ROWS = 256
 ROOM = 1e-5  # for what single-precision products and rounded scores are off
 
 
@@ -68,14 +69,17 @@ def _candidates(held, k: int, threshold: float):
                 if not len(names) or not b.num_rows:
                     continue
                 x = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(b.num_rows, -1).astype(np.float32)
-                near = (y @ x.T) * b.column("scale").to_numpy().astype(np.float32)
+                scale = b.column("scale").to_numpy().astype(np.float32)
                 off = b.column("off").to_numpy().astype(np.float32) + np.float32(ROOM)
-                low, high = near - off, near + off
-                joined = np.concatenate((best, low), 1)
-                best = np.partition(joined, joined.shape[1] - k, axis=1)[:, -k:]
-                q, i = np.nonzero(high >= np.maximum(best.min(1), np.float32(threshold))[:, None])
-                ids = b.column("id").take(pa.array(i))
-                yield pa.record_batch({"q": pa.array(q, pa.int64()), "id": ids, "low": pa.array(low[q, i], pa.float32()), "high": pa.array(high[q, i], pa.float32())})
+                # Products of 256 queries at a time, so that a task's memory does not grow with the queries.
+                for first in range(0, len(names), QUERY_ROWS):
+                    near = (y[first : first + QUERY_ROWS] @ x.T) * scale
+                    low, high = near - off, near + off
+                    joined = np.concatenate((best[first : first + QUERY_ROWS], low), 1)
+                    best[first : first + QUERY_ROWS] = np.partition(joined, joined.shape[1] - k, axis=1)[:, -k:]
+                    q, i = np.nonzero(high >= np.maximum(best[first : first + QUERY_ROWS].min(1), np.float32(threshold))[:, None])
+                    ids = b.column("id").take(pa.array(i))
+                    yield pa.record_batch({"q": pa.array(q + first, pa.int64()), "id": ids, "low": pa.array(low[q, i], pa.float32()), "high": pa.array(high[q, i], pa.float32())})
 
     return work
 
