@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +17,8 @@ def context_windows(chunks: DataFrame, order: list[str] | None = None, middle_on
 
     The chunks of all documents are cut, in the whole order, into ranges of about ``span`` rows (MOST_RUNS ranges at most), by
     splitters that Spark takes from a sample.  A document's rows of one range are a run, sorted by itself, so that a long
-    document or page is many tasks; the first and last rows of the runs, a row a run, are put beside
-    each other and give the runs' outer neighbours."""
+    document or page is many tasks; the first and last rows of the runs that cut a document, two rows a run at most, are put beside
+    each other and sent to the rows as the runs' outer neighbours."""
     order = order or ["page_number", "page_ord", "chunk_no"]
     ends = [F.col(c).asc_nulls_last() for c in order]
     runs = min(MOST_RUNS, max(1, -(-chunks.count() // span)))
@@ -35,9 +33,12 @@ def context_windows(chunks: DataFrame, order: list[str] | None = None, middle_on
         out = near.select(*[c for c in chunks.columns if c not in ("text_a", "text_c")], F.col("_a.t").alias("text_a"), F.col("_c.t").alias("text_c"))
         return out.where("text_a is not null and text_c is not null") if middle_only else out
     place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
-    edges = rows.groupBy("doc_name", "_run").agg(F.min_by(box, place).alias("_first"), F.max_by(box, place).alias("_last"))
+    # Of each cut between two runs at most one document lies on both sides: these are few, and their edges go to the rows.
+    longer = rows.groupBy("doc_name").agg(F.min("_run").alias("_x"), F.max("_run").alias("_y")).where("_x < _y").select("doc_name")
+    cut = rows.join(F.broadcast(longer), rows["doc_name"].eqNullSafe(longer["doc_name"]), "left_semi")
+    edges = cut.groupBy("doc_name", "_run").agg(F.min_by(box, place).alias("_first"), F.max_by(box, place).alias("_last"))
     outer = Window.partitionBy("doc_name").orderBy("_run")
-    edges = edges.select("doc_name", "_run", F.lag("_last").over(outer).alias("_before"), F.lead("_first").over(outer).alias("_after"))
-    same = reduce(lambda a, b: a & b, [near[c].eqNullSafe(edges[c]) for c in ("doc_name", "_run")])
-    out = near.join(edges, same).select(*[near[c] for c in chunks.columns if c not in ("text_a", "text_c")], F.coalesce("_a", "_before")["t"].alias("text_a"), F.coalesce("_c", "_after")["t"].alias("text_c"))
+    edges = edges.select(F.col("doc_name").alias("_d"), F.col("_run").alias("_r"), F.lag("_last").over(outer).alias("_before"), F.lead("_first").over(outer).alias("_after"))
+    met = near.join(F.broadcast(edges), near["doc_name"].eqNullSafe(edges["_d"]) & (near["_run"] == edges["_r"]), "left")
+    out = met.select(*[near[c] for c in chunks.columns if c not in ("text_a", "text_c")], F.coalesce("_a", "_before")["t"].alias("text_a"), F.coalesce("_c", "_after")["t"].alias("text_c"))
     return out.where("text_a is not null and text_c is not null") if middle_only else out
