@@ -92,8 +92,9 @@ def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit
     df = term_stats(postings.join(sent(terms.select("term").distinct()), "term", "left_semi"))
     asked = terms.join(sent(df), "term")
     weight = stats.idf(F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    # Few terms: their postings are dealt by chunk, so that a chunk's scores are added up where they are made.
-    met = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("chunk_id").join(F.broadcast(asked), "term") if few else with_terms(postings, table(asked, "query-terms"), stats.n)
+    # Few terms: their postings are dealt by chunk, some thousand chunks a task, so that a chunk's scores are added up where they are made.
+    parts = min(20_000, max(1, -(-stats.n // 4096)))
+    met = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition(parts, "chunk_id").join(F.broadcast(asked), "term") if few else with_terms(postings, table(asked, "query-terms"), stats.n)
     scores = met.select(*SUB, "chunk_id", (F.col("qtf") * weight).alias("w")).groupBy(*SUB, "chunk_id").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
     return ranked(scores, SUB, "score", "chunk_id", limit, "bm25_rank")
 
