@@ -5,6 +5,11 @@ neither the order of summation nor the partitioning shows in a result."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +17,7 @@ from foliant.functions.constants import B, DENSE_TYPE, FRAGMENT, HYBRID_TYPE, K1
 from foliant.functions.expr import ordered_join, ranked
 from foliant.functions.store import table
 from foliant.operators.dense import nearest_blocks
-from foliant.operators.index import Bm25Stats, term_stats, with_terms
+from foliant.operators.index import Bm25Stats, by_chunk, by_term, slices, term_stats, with_terms
 from foliant.operators.model import fill_template
 from foliant.operators.pruned import VectorIndex, pruned_nearest
 from foliant.operators.segment import WORDS, Words
@@ -81,24 +86,86 @@ def question_search(questions: DataFrame, queries: DataFrame, chunks: DataFrame,
 
 def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit: int = 2 * TOP_K, k1: float = K1, b: float = B, broadcast_terms: int = 200_000, tokenizer: Words = WORDS) -> DataFrame:
     """``request_id, sub_id, chunk_id, score, bm25_rank``: positive scores, the ``limit`` best of each
-    sub-query.  Queries are cut by the ``tokenizer`` that cut the chunks.  The terms of up to ``broadcast_terms`` sub-query terms go
-    to the postings, which are not shuffled; more meet them by term, the terms that many chunks hold apart
-    from the rest.  The shuffle that is left is of the asked postings by chunk, or of the scores by (sub-query, chunk), which is even however common a term
+    sub-query.  Queries are cut by the ``tokenizer`` that cut the chunks.  ``postings`` are ``chunk_id, term, tf, dl``, or ``chunk_id, dl, terms`` of
+    ``search_counts``, a row a chunk.  Up to ``broadcast_terms`` sub-query terms go
+    to the chunks, which are scored in slices where they lie (postings are dealt by chunk first), and of each slice only the ``limit`` best of a sub-query leave it.  More meet the postings by term, the terms that many chunks hold apart
+    from the rest; the scores are then shuffled by (sub-query, chunk), which is even however common a term
     is."""
     cut = tokenizer.add(queries.select(*SUB, "query"), "query", "_t")
     terms = table(cut.select(*SUB, F.explode("_t").alias("term")).groupBy(*SUB, "term").agg(F.count("*").alias("qtf")), "query-terms")
     few = terms.count() <= broadcast_terms
     sent = F.broadcast if few else lambda df: df  # counted above
-    df = term_stats(postings.join(sent(terms.select("term").distinct()), "term", "left_semi"))
+    whole = "terms" in postings.columns
+    each = by_term(postings) if whole else postings
+    df = term_stats(each.join(sent(terms.select("term").distinct()), "term", "left_semi"))
     asked = terms.join(sent(df), "term")
-    weight = stats.idf(F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    # Few terms: their postings are dealt by chunk, some thousand chunks a task, so that a chunk's scores are added up where they are made.
-    parts = min(20_000, max(1, -(-stats.n // 4096)))
-    met = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition(parts, "chunk_id").join(F.broadcast(asked), "term") if few else with_terms(postings, table(asked, "query-terms"), stats.n)
-    scores = met.select(*SUB, "chunk_id", (F.col("qtf") * weight).alias("w")).groupBy(*SUB, "chunk_id").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
+    if few:
+        # Postings are dealt by chunk, some thousand chunks a task.
+        parts = min(20_000, max(1, -(-stats.n // 4096)))
+        rows = postings if whole else by_chunk(postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition(parts, "chunk_id"))
+        scores = _scored(rows, asked.withColumn("idf", stats.idf(F.col("df"))), limit, k1, b, stats.avgdl or 1.0)
+    else:
+        weight = stats.idf(F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
+        met = with_terms(each, table(asked, "query-terms"), stats.n)
+        scores = met.select(*SUB, "chunk_id", (F.col("qtf") * weight).alias("w")).groupBy(*SUB, "chunk_id").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
     return ranked(scores, SUB, "score", "chunk_id", limit, "bm25_rank")
 
 
+SLICE = 1 << 20  # scores, and products that add up to them, that a task holds at a time
+
+
+def _scored(rows: DataFrame, asked: DataFrame, limit: int, k1: float, b: float, avgdl: float) -> DataFrame:
+    """``request_id, sub_id, chunk_id, score``: of every slice of chunks (``chunk_id, terms``, with ``dl`` beside or within the terms) the ``limit`` best positive scores of each
+    sub-query, ties by chunk_id.  ``asked``: request_id, sub_id, term, qtf, idf, few enough to be sent."""
+    got = asked.select(*SUB, "term", "qtf", "idf").toArrow().combine_chunks()  # of bounded size
+    names = got["term"].unique().sort()
+    term = pc.index_in(got["term"], value_set=names).to_numpy()
+    keys = got.select(SUB).group_by(SUB).aggregate([]).combine_chunks()
+    keys = keys.append_column("_q", pa.array(np.arange(len(keys))))
+    sub = got.select(SUB).append_column("_i", pa.array(np.arange(len(got)))).join(keys, SUB).sort_by("_i")["_q"].to_numpy()
+    order = np.argsort(term, kind="stable")
+    start = np.searchsorted(term[order], np.arange(len(names) + 1))
+    idf = np.zeros(len(names))
+    idf[term] = got["idf"].to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast((names, idf, start, sub[order], got["qtf"].to_numpy()[order], keys.select(SUB)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf, start, sub, qtf, keys = held.value
+        n_sub, n_asked = len(keys), np.diff(start)
+        for whole in batches:
+            sizes = pc.list_value_length(whole.column("terms")).to_numpy(zero_copy_only=False)
+            entries = whole.column("terms").flatten()
+            tf = entries.field("tf").to_numpy()
+            dl = whole.column("dl").to_numpy(zero_copy_only=False).repeat(sizes) if "dl" in whole.schema.names else entries.field("dl").to_numpy()
+            place = pc.fill_null(pc.index_in(entries.field("term"), value_set=names), -1).to_numpy()
+            row = np.repeat(np.arange(whole.num_rows), sizes)
+            # By term, so that chunks of the same counts get the same sum.
+            by = np.lexsort((place, row))
+            by = by[place[by] >= 0]
+            row, place, tf, dl = row[by], place[by], tf[by], dl[by]
+            weight = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            n = n_asked[place]
+            first = np.empty(whole.num_rows, np.int64)
+            first[pc.array_sort_indices(whole.column("chunk_id"), null_placement="at_start").to_numpy()] = np.arange(whole.num_rows)
+            for at, upto in slices(np.maximum(n_sub, np.bincount(row, n, whole.num_rows).astype(np.int64)), SLICE):
+                e = slice(*np.searchsorted(row, [at, upto]))
+                ends = np.cumsum(n[e])
+                own = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[place[e]] - ends + n[e], n[e])
+                s = np.bincount(np.repeat(row[e] - at, n[e]) * n_sub + sub[own], qtf[own] * np.repeat(weight[e], n[e]), (upto - at) * n_sub)
+                s = np.round(s, 9).reshape(-1, n_sub).T
+                least = np.partition(s, -limit, axis=1)[:, -limit][:, None] if s.shape[1] > limit else 0.0
+                q, at_row = np.nonzero((s > 0) & (s >= least))
+                by = np.lexsort((first[at + at_row], -s[q, at_row], q))
+                q, at_row = q[by], at_row[by]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < limit
+                q, at_row = q[best], at_row[best]
+                out = keys.take(pa.array(q)).combine_chunks()
+                yield from out.append_column("chunk_id", whole.column("chunk_id").take(pa.array(at + at_row))).append_column("score", pa.array(s[q, at_row])).to_batches()
+
+    kinds = [f"{c} {asked.schema[c].dataType.simpleString()}" for c in SUB]
+    return rows.mapInArrow(work, f"{', '.join(kinds)}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score double")
+
+
 def rrf_fuse(bm25: DataFrame, dense: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal ranks of both legs added up; a chunk keeps its best sub-query.  ``bm25`` has bm25_rank,
     ``dense`` embedding_rank, both by request_id, sub_id, chunk_id; a missing leg adds nothing."""
