@@ -114,20 +114,33 @@ def bm25_search(postings: DataFrame, stats: Bm25Stats, queries: DataFrame, limit
 SLICE = 1 << 20  # scores, and products that add up to them, that a task holds at a time
 
 
-def _scored(rows: DataFrame, asked: DataFrame, limit: int, k1: float, b: float, avgdl: float) -> DataFrame:
-    """``request_id, sub_id, chunk_id, score``: of every slice of chunks (``chunk_id, terms``, with ``dl`` beside or within the terms) the ``limit`` best positive scores of each
-    sub-query, ties by chunk_id.  ``asked``: request_id, sub_id, term, qtf, idf, few enough to be sent."""
-    got = asked.select(*SUB, "term", "qtf", "idf").toArrow().combine_chunks()  # of bounded size
+def asked_by_term(asked: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """Of ``asked`` (request_id, sub_id, term, qtf, idf; of bounded size): the distinct terms, their idf, where the sub-queries of each begin, the numbers of these sub-queries and
+    their qtf, and the keys of the sub-queries by number."""
+    got = asked.select(*SUB, "term", "qtf", "idf").toArrow().combine_chunks()
     names = got["term"].unique().sort()
     term = pc.index_in(got["term"], value_set=names).to_numpy()
-    keys = got.select(SUB).group_by(SUB).aggregate([]).combine_chunks()
-    keys = keys.append_column("_q", pa.array(np.arange(len(keys))))
-    sub = got.select(SUB).append_column("_i", pa.array(np.arange(len(got)))).join(keys, SUB).sort_by("_i")["_q"].to_numpy()
+    code = [got[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64) for c in SUB]
+    _, first, sub = np.unique(code[0] * (len(got) + 1) + code[1], return_index=True, return_inverse=True)
     order = np.argsort(term, kind="stable")
     start = np.searchsorted(term[order], np.arange(len(names) + 1))
     idf = np.zeros(len(names))
     idf[term] = got["idf"].to_numpy()
-    held = rows.sparkSession.sparkContext.broadcast((names, idf, start, sub[order], got["qtf"].to_numpy()[order], keys.select(SUB)))
+    return names, idf, start, sub[order], got["qtf"].to_numpy()[order], got.select(SUB).take(pa.array(first))
+
+
+def products(place: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where the sub-queries of each of these terms stand, one after another."""
+    n = np.diff(start)[place]
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[place] - ends + n, n)
+
+
+def _scored(rows: DataFrame, asked: DataFrame, limit: int, k1: float, b: float, avgdl: float, sent=None) -> DataFrame:
+    """``request_id, sub_id, chunk_id, score``: of every slice of chunks (``chunk_id, terms``, with ``dl`` beside or within the terms) the ``limit`` best positive scores of each
+    sub-query, ties by chunk_id.  ``asked``: request_id, sub_id, term, qtf, idf, few enough to be sent (``sent``: their broadcast ``asked_by_term``, if it is there).  Where rows have ``wanted``,
+    the bits of the sub-queries by number, only these are scored."""
+    held = rows.sparkSession.sparkContext.broadcast(asked_by_term(asked)) if sent is None else sent
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, idf, start, sub, qtf, keys = held.value
@@ -149,9 +162,13 @@ def _scored(rows: DataFrame, asked: DataFrame, limit: int, k1: float, b: float,
             first[pc.array_sort_indices(whole.column("chunk_id"), null_placement="at_start").to_numpy()] = np.arange(whole.num_rows)
             for at, upto in slices(np.maximum(n_sub, np.bincount(row, n, whole.num_rows).astype(np.int64)), SLICE):
                 e = slice(*np.searchsorted(row, [at, upto]))
-                ends = np.cumsum(n[e])
-                own = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[place[e]] - ends + n[e], n[e])
-                s = np.bincount(np.repeat(row[e] - at, n[e]) * n_sub + sub[own], qtf[own] * np.repeat(weight[e], n[e]), (upto - at) * n_sub)
+                own = products(place[e], start)
+                cell, part = np.repeat(row[e] - at, n[e]) * n_sub + sub[own], qtf[own] * np.repeat(weight[e], n[e])
+                if "wanted" in whole.schema.names:
+                    bits = np.frombuffer(b"".join(whole.column("wanted").slice(at, upto - at).to_pylist()), np.uint8).reshape(upto - at, -1)
+                    keep = np.unpackbits(bits, axis=1, count=n_sub).reshape(-1)[cell] == 1
+                    cell, part = cell[keep], part[keep]
+                s = np.bincount(cell, part, (upto - at) * n_sub)
                 s = np.round(s, 9).reshape(-1, n_sub).T
                 least = np.partition(s, -limit, axis=1)[:, -limit][:, None] if s.shape[1] > limit else 0.0
                 q, at_row = np.nonzero((s > 0) & (s >= least))
