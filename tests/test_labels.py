@@ -1,10 +1,13 @@
 """Labels of several words, and running headers and footers, against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
-from foliant.operators import rules
+from pyspark.sql import functions as F
+
+from foliant.operators import index, rules
 
 
 def test_phrase_labels(spark):
@@ -53,3 +56,31 @@ def test_running_heads_go_and_prose_stays(spark):
     assert out["book", 5] == "Prose first on this page.\nA Title\nmore"
     assert out["other", 2] == "line c" and out["other", 9] is None and out[None, 1] == "x\ny" and out["short", 1] == "A Title"
     assert out["heads", 2] == ""
+
+
+def test_phrases_that_stand_once_stay_where_they_are(spark, monkeypatch):
+    """Bits of marks leave out what occurs too seldom and nothing else; numbers packed in parts are those of rows."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(2000)]
+    texts = [" ".join([*(rng.choice(words) for _ in range(40)), rng.choice(["the vector index", "near duplicate pages", "é ü"]), "." if k % 2 else ""]) for k in range(200)]
+    chunks = spark.createDataFrame([*enumerate([*texts, texts[0], None, "", "one"])], "chunk_id long, text string").repartition(3)
+    labels = [tuple(r) for r in rules.phrase_labels(chunks).orderBy("chunk_id", "rank").collect()]
+    rows = [tuple(r) for r in rules.phrase_candidates(chunks).collect()]
+    total = Counter()
+    for _, phrase, _, tf in rows:
+        total[phrase] += tf
+    for held in (64, 1 << 19):
+        monkeypatch.setattr(rules, "HELD", held)
+        monkeypatch.setattr(index, "HELD", held)
+        for least in (2, 3):
+            often = {x for x in rows if total[x[1]] >= least}
+            bits = spark.sparkContext.broadcast(rules.repeated_marks(chunks, 3, least, 1 << 24))
+            kept = {tuple(r) for r in rules.phrase_candidates(chunks, repeated=bits).collect()}
+            assert often <= kept and len(kept - often) < 0.02 * len(rows) < len(rows) - len(often)
+            weights = {tuple(r) for r in rules.phrase_weights(rules.phrase_candidates(chunks, repeated=bits, numbers=True), least).collect()}
+            assert weights == {tuple(r) for r in rules.phrase_weights(rules.phrase_candidates(chunks), least).collect()} and len(weights) == len({x[1] for x in often})
+        assert [tuple(r) for r in rules.phrase_labels(chunks).orderBy("chunk_id", "rank").collect()] == labels
+    whole = rules.counted_phrases(chunks)
+    facts = rules.phrase_weights(rules.phrase_candidates(chunks)).select(F.col("phrase").alias("term"), "df", F.col("c_value").alias("each"))
+    best = lambda df: sorted(map(tuple, df.collect()))
+    assert best(index.top_terms(whole, facts, 4, 0)) == best(index.top_terms(chunks.select("chunk_id", rules._runs().alias("runs")), facts, 4, 7, counter=rules.phrase_counter()))
